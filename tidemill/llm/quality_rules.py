@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import documents, map_batches, slices
-from tidemill.llm.wordcache import WordCache
+from tidemill.llm.wordcache import WordCache, kept
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -117,13 +117,13 @@ def _encoder(path: str):
 
 def _judge(model_path: str, bands: dict[str, Band]):
     """A function from a batch to the columns of SCHEMA behind doc_id."""
-    state: dict = {}
+
+    def load() -> tuple[WordCache, np.ndarray]:
+        encode, is_byte = _encoder(model_path)
+        return WordCache(encode), is_byte
 
     def judge(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        if not state:
-            encode, is_byte = _encoder(model_path)
-            state.update(words=WordCache(encode), is_byte=is_byte)
-        words, is_byte = state["words"], state["is_byte"]
+        words, is_byte = kept((__name__, model_path), load)
         texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
         langs = batch.column("lang").to_pylist()
         rows = []

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill.llm.packing import pack_documents
 from tidemill.llm.quality_rules import quality_features
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,8 +20,13 @@ def op5_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_features(read(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op5_quality_fertility": op5_quality_fertility,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -7,13 +7,22 @@ bounded; what is emptied is encoded again, and results don't depend on it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Hashable, Sequence
+
+_KEPT: dict = {}
+
+
+def kept(key: Hashable, make: Callable):
+    """What ``make`` returned first in this process: a worker's next task finds it again."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
 class WordCache(dict):
     """word -> number, in the order met; ``ids`` has the token ids of each number, as bytes."""
 
-    def __init__(self, encode: Callable[[list], Sequence[bytes | None]], most: int = 400_000):
+    def __init__(self, encode: Callable[[list], Sequence[bytes | None]], most: int = 800_000):
         super().__init__()
         self.encode, self.most = encode, most
         self.ids: list[bytes | None] = []
