@@ -6,8 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill.llm.bagminhash import near_duplicates
+from tidemill.llm.compact_windows import near_passages
+from tidemill.llm.decontamination import contamination
+from tidemill.llm.language_id import identify_languages
+from tidemill.llm.license_scan import license_digest, scan_licenses
+from tidemill.llm.line_dedup import dedup_lines
 from tidemill.llm.packing import pack_documents
+from tidemill.llm.pii import find_pii, pii_digest
 from tidemill.llm.quality_rules import quality_features
+from tidemill.llm.secret_scan import scan_secrets, secret_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,17 +24,61 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(scan_secrets(read(spark, sf_dir, "documents")))
+
+
+def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(find_pii(read(spark, sf_dir, "documents")))
+
+
+def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op4_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines", "removed_chunks")
+
+
 def op5_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_features(read(spark, sf_dir, "documents"))
 
 
+def op6_license_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(scan_licenses(read(spark, sf_dir, "documents")))
+
+
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_passages(read(spark, sf_dir, "documents"))
+
+
+def op8_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    "op5_quality_fertility": op5_quality_fertility,
-    "op9_best_fit_packing": op9_best_fit_packing,
+    f.__name__: f
+    for f in (
+        op1_secret_ownership,
+        op2_pii_spans,
+        op3_spaced_seed_decontamination,
+        op4_line_chunk_dedup,
+        op5_quality_fertility,
+        op6_license_containment,
+        op7_compact_windows,
+        op8_bagminhash_classes,
+        op9_best_fit_packing,
+        op10_language_id,
+    )
 }
 
+#: None of the operators is within reach of SQL on whole tables; tests/llm has brute-force versions.
 ORACLE_SQL: dict[str, str] = {}
