@@ -44,16 +44,17 @@ def word_hashes(text: str = "text") -> Column:
 
 def seeds(hashes: str = "_h") -> Column:
     """(position, seed) for each position and mask that fit."""
-    made = []
-    for number, mask in enumerate(MASKS):
-        last = F.size(hashes) - mask[-1] - 1
+    none = F.array().cast("array<struct<pos:int,seed:bigint>>")
 
-        def seed(i: Column, number: int = number, mask: tuple[int, ...] = mask) -> Column:
-            return F.struct(i.alias("pos"), F.xxhash64(F.lit(number), *(F.get(F.col(hashes), i + p) for p in mask)).alias("seed"))
+    def masked(number: int, mask: tuple[int, ...]) -> Column:
+        last = F.size(hashes) - mask[-1] - 1
+        found = F.transform(
+            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+            lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(number), *(F.get(F.col(hashes), i + p) for p in mask)).alias("seed")),
+        )
+        return F.when(last >= 0, found).otherwise(none)
 
-        none = F.array().cast("array<struct<pos:int,seed:bigint>>")
-        made.append(F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), seed)).otherwise(none))
-    return F.concat(*made)
+    return F.concat(*(masked(i, m) for i, m in enumerate(MASKS)))
 
 
 def overlap(one: Column, other: Column, window: Column) -> Column:
