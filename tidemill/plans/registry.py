@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidemill.operators import checks, docstore, graph, keys, masking, scans, summaries, verify
+from tidemill.functions import converters, text
+from tidemill.plans.declare import Query
+from tidemill.streaming import incremental
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "project_document_orders"
+MODULES = (scans, keys, converters, text, summaries, masking, checks, docstore, verify, graph, incremental)
 
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {name: run for module in MODULES for name, run in module.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for module in MODULES for name, sql in module.QUERIES.sql.items()}
