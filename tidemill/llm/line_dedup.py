@@ -109,8 +109,8 @@ def repeated_chunks(rows: DataFrame) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, ``text`` without repeated chunks, ``removed_lines`` and ``removed_chunks`` added.
+def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
+    """All columns of ``docs``, ``text`` without repeated chunks; ``counts`` adds ``removed_lines`` and ``removed_chunks``, or replaces them.
 
     ``docs`` needs ``doc_id, text``. Two columns whose names start with
     ``_tm_`` are used on the way.
@@ -135,11 +135,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             ),
         )
     )
-    names = [c for c in docs.columns if c != "text"]
     removed = F.coalesce(F.aggregate("_tm_gone", F.lit(0), lambda a, x: a + x["n"]), F.lit(0))
-    return joined.select(
-        *(F.col(f"`{c}`") for c in names),
-        F.when(F.col("_tm_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
+    text = F.when(F.col("_tm_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text")
+    added = [
         removed.cast("long").alias("removed_lines"),
         F.when(F.col("_tm_gone").isNull(), 0).otherwise(F.size("_tm_gone")).cast("long").alias("removed_chunks"),
-    ).select(*(F.col(f"`{c}`") for c in docs.columns), "removed_lines", "removed_chunks")
+    ]
+    names = [c for c in docs.columns if not counts or c not in ("removed_lines", "removed_chunks")]
+    return joined.select(*(text if c == "text" else F.col(f"`{c}`") for c in names), *(added if counts else []))

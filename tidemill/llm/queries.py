@@ -37,7 +37,7 @@ def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 def op4_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines", "removed_chunks")
+    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op5_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size", "kept")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
