@@ -7,7 +7,7 @@ family a linear support vector machine votes, margins break ties.
 
 Models are fitted on the driver from a bounded sample: at most ``PER_LANG``
 rows per language, those with the smallest hashes of their ids, and the first
-``TRAIN_BYTES`` bytes of their texts. Predictions read whole texts in one pass
+``TRAIN_CHARS`` characters of their texts. Predictions read whole texts in one pass
 without an exchange.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter,
@@ -37,7 +37,7 @@ FAMILIES = {
 FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 
 PER_LANG = 1_500
-TRAIN_BYTES = 4_000
+TRAIN_CHARS = 4_000
 DIMENSIONS = 1 << 14
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHERS = re.compile(r"[\W\d_]+")
@@ -121,11 +121,11 @@ def train(rows: list[tuple[str, str]]) -> LanguageModel:
     return LanguageModel(families, np.array(ones) if ones else np.zeros((0, DIMENSIONS)), pairs)
 
 
-def training_sample(labelled: DataFrame, per_lang: int = PER_LANG, most_bytes: int = TRAIN_BYTES) -> list[tuple[str, str]]:
+def training_sample(labelled: DataFrame, per_lang: int = PER_LANG, most_chars: int = TRAIN_CHARS) -> list[tuple[str, str]]:
     """At most ``per_lang`` rows of each language, chosen by the hash of the id."""
     # ranked by (lang, part) first, so that no task ranks a whole language
     part = F.pmod(F.hash("_rank"), F.lit(64))
-    rows = labelled.where("text is not null and lang is not null").select("lang", F.substring("text", 1, most_bytes).alias("text"), F.xxhash64("doc_id", F.lit(1)).alias("_rank"))
+    rows = labelled.where("text is not null and lang is not null").select("lang", F.substring("text", 1, most_chars).alias("text"), F.xxhash64("doc_id", F.lit(1)).alias("_rank"))
     within = Window.partitionBy("lang", "_part").orderBy("_rank", "text")
     some = rows.withColumn("_part", part).withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= -(-per_lang // 64) * 2)
     within = Window.partitionBy("lang").orderBy("_rank", "text")
