@@ -58,8 +58,8 @@ def features(text: str) -> np.ndarray:
     return total / max(np.linalg.norm(total), 1e-9)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, epochs: int = 12, strength: float = 1e-4) -> np.ndarray:
-    """Weights of a linear SVM for labels of 1 and -1, by averaged sub-gradient steps in a fixed order."""
+def fit_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, epochs: int = 12, strength: float = 1e-4) -> np.ndarray:
+    """Weights of a linear SVM for labels of 1 and -1 of some rows of ``x``, by averaged sub-gradient steps in a fixed order."""
     weights, mean, step = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0
     order = np.random.default_rng(7)
     share = {1: len(y) / max(1, 2 * (y > 0).sum()), -1: len(y) / max(1, 2 * (y < 0).sum())}
@@ -68,10 +68,12 @@ def fit_svm(x: np.ndarray, y: np.ndarray, epochs: int = 12, strength: float = 1e
         for part in np.array_split(order.permutation(len(y)), max(1, len(y) // 32)):
             step += 1
             rate = 1 / (strength * (step + 1000))
-            wrong = part[y[part] * (x[part] @ weights) < 1]
+            some = x[rows[part]]
+            missed = y[part] * (some @ weights) < 1
+            wrong = part[missed]
             weights *= 1 - rate * strength
             if len(wrong):
-                weights += rate / len(part) * ((y[wrong] * balance[wrong]) @ x[wrong])
+                weights += rate / len(part) * ((y[wrong] * balance[wrong]) @ some[missed])
             mean += (weights - mean) / step
     return mean
 
@@ -109,15 +111,18 @@ def train(rows: list[tuple[str, str]]) -> LanguageModel:
     for lang in langs:
         grouped.setdefault(FAMILY.get(lang, lang), []).append(lang)
     families = sorted(grouped.items())
-    x = np.array([features(text) for text, _ in rows]) if rows else np.zeros((0, DIMENSIONS))
+    x = np.zeros((len(rows), DIMENSIONS), np.float32)
+    for i, (text, _) in enumerate(rows):
+        x[i] = features(text)
+    every = np.arange(len(rows))
     known = np.array([lang for _, lang in rows])
-    ones = [fit_svm(x, np.where(np.isin(known, members), 1, -1)) for _, members in families] if len(families) > 1 else [np.zeros(DIMENSIONS)] * len(families)
+    ones = [fit_svm(x, every, np.where(np.isin(known, members), 1, -1)) for _, members in families] if len(families) > 1 else [np.zeros(DIMENSIONS)] * len(families)
     pairs = {}
     for _, members in families:
         for i, one in enumerate(members):
             for other in members[i + 1 :]:
-                here = np.isin(known, (one, other))
-                pairs[one, other] = fit_svm(x[here], np.where(known[here] == one, 1, -1))
+                here = np.flatnonzero(np.isin(known, (one, other)))
+                pairs[one, other] = fit_svm(x, here, np.where(known[here] == one, 1, -1))
     return LanguageModel(families, np.array(ones) if ones else np.zeros((0, DIMENSIONS)), pairs)
 
 
