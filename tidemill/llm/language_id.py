@@ -127,13 +127,21 @@ def train(rows: list[tuple[str, str]]) -> LanguageModel:
 
 
 def training_sample(labelled: DataFrame, per_lang: int = PER_LANG, most_chars: int = TRAIN_CHARS) -> list[tuple[str, str]]:
-    """At most ``per_lang`` rows of each language, chosen by the hash of the id."""
-    # ranked by (lang, part) first, so that no task ranks a whole language
-    part = F.pmod(F.hash("_rank"), F.lit(64))
-    rows = labelled.where("text is not null and lang is not null").select("lang", F.substring("text", 1, most_chars).alias("text"), F.xxhash64("doc_id", F.lit(1)).alias("_rank"))
-    within = Window.partitionBy("lang", "_part").orderBy("_rank", "text")
-    some = rows.withColumn("_part", part).withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= -(-per_lang // 64) * 2)
-    within = Window.partitionBy("lang").orderBy("_rank", "text")
+    """At most ``per_lang`` rows of each language, those with the smallest hashes of their ids; of rows with one id, one.
+
+    Rows are counted first, so that only hashes under a bound leave the scan:
+    a quarter more than are wanted, whatever the size of the corpus.
+    """
+    rows = labelled.where("text is not null and lang is not null")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return []
+    shares = F.create_map(*(F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, 1.25 * per_lang / n))))
+    rank = F.xxhash64("doc_id", F.lit(1))
+    some = rows.where(F.shiftrightunsigned(rank, 1) <= F.try_element_at(shares, F.col("lang")) * float(1 << 63))
+    some = some.select("lang", F.substring("text", 1, most_chars).alias("text"), rank.alias("_rank"))
+    some = some.groupBy("lang", "_rank").agg(F.min("text").alias("text"))
+    within = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("_rank", 1), "_rank")
     some = some.withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= per_lang)
     return [(r["text"], r["lang"]) for r in some.select("text", "lang").collect() if _LETTER.search(r["text"])]
 
