@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -30,6 +32,19 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.array([_HASHES[w] for w in words(text)], np.uint64)
 
 
+def many_word_hashes(texts: list[str | None]) -> list[np.ndarray]:
+    """``word_hashes`` of each text, with every distinct word hashed once."""
+    split = pc.ascii_split_whitespace(pa.array([(t or "").lower() for t in texts], pa.large_string()))
+    words_, owner = split.flatten(), pc.list_parent_indices(split)
+    real = pc.greater(pc.binary_length(words_), 0)
+    coded = words_.filter(real).dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    each = np.array([_HASHES[w] for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], np.uint64)
+    flat = each[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.uint64)
+    sizes = np.bincount(owner.filter(real).to_numpy(zero_copy_only=False), minlength=len(texts))
+    return np.split(flat, np.cumsum(sizes)[:-1]) if len(texts) else []
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose bits all depend on all bits."""
     x = x ^ (x >> np.uint64(30))
