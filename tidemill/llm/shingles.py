@@ -39,7 +39,7 @@ def many_word_hashes(texts: list[str | None]) -> list[np.ndarray]:
     real = pc.greater(pc.binary_length(words_), 0)
     coded = words_.filter(real).dictionary_encode()
     coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-    each = np.array([_HASHES[w] for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], np.uint64)
+    each = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], np.uint64)
     flat = each[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.uint64)
     sizes = np.bincount(owner.filter(real).to_numpy(zero_copy_only=False), minlength=len(texts))
     return np.split(flat, np.cumsum(sizes)[:-1]) if len(texts) else []
