@@ -8,7 +8,7 @@ import pytest
 
 from tidemill.llm import bagminhash, compact_windows, decontamination, license_scan, line_dedup, packing, pii, quality_rules, secret_scan
 from tidemill.llm.language_id import predict_languages, train
-from tidemill.llm.shingles import multiset, weighted_jaccard
+from tidemill.llm.shingles import many_word_hashes, multiset, weighted_jaccard, word_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row long, kept string"
 
@@ -171,6 +171,20 @@ def test_passages(spark, docs):
     assert {r["doc_id"] for r in compact_windows.near_passages(docs).collect()} >= {4, 5, 6}
 
 
+def test_word_hashes_of_many_texts():
+    texts = ["", None, " a  b\t\x0bc\x0c", "é İ ß x", "\n\n", "A a"]
+    assert [x.tolist() for x in many_word_hashes(texts)] == [word_hashes(t).tolist() for t in texts]
+    assert many_word_hashes([]) == []
+
+
+def test_passages_of_copies_and_repeated_tokens(spark):
+    copied, loop = " ".join(words(900, 70)), " ".join(words(901, 12) * 6)
+    texts = [copied, copied, " ".join(words(902, 60)) + " " + loop, " ".join(words(903, 95)) + " " + loop + " " + " ".join(words(904, 30)), " ".join(words(905, 200)), None]
+    got = compact_windows.near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["class_id"]) for r in got} == {(0, 0), (1, 0), (2, 2), (3, 2)}
+    assert {(r["start_word"], r["end_word"], r["links"]) for r in got if r["doc_id"] < 2} == {(0, 70, 1)}
+
+
 def test_packing(docs):
     got = packing.pack_documents(docs).collect()
     assert {r["doc_id"] for r in got} == texts_of(docs).keys()
