@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemill.llm.bagminhash import drop_near_duplicates
 from tidemill.llm.common import staged
 from tidemill.llm.decontamination import decontaminate
-from tidemill.llm.line_dedup import dedup_lines
+from tidemill.llm.line_dedup import dedup_line_runs
 from tidemill.llm.packing import pack_documents
 from tidemill.llm.quality_rules import quality_filter
 
@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup_lines(docs, counts=False)
+    return dedup_line_runs(docs, counts=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

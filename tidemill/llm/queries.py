@@ -11,7 +11,7 @@ from tidemill.llm.compact_windows import near_passages
 from tidemill.llm.decontamination import contamination
 from tidemill.llm.language_id import identify_languages
 from tidemill.llm.license_scan import license_digest, scan_licenses
-from tidemill.llm.line_dedup import dedup_lines
+from tidemill.llm.line_dedup import dedup_line_runs
 from tidemill.llm.packing import pack_documents
 from tidemill.llm.pii import find_pii, pii_digest
 from tidemill.llm.quality_rules import quality_features
@@ -37,7 +37,7 @@ def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 def op4_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_line_runs(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op5_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
