@@ -13,7 +13,8 @@ that looks random is a live-looking credential.
    that follows has another key.
 
 Defined results: a null text counts as empty; null repositories and owners
-are one unknown value each; repeated rows are scanned one by one; other
+are one unknown value each; a private key is its type and body, and an opening
+line without a body is never live; repeated rows are scanned one by one; other
 columns of the input are not looked at.
 """
 
@@ -39,6 +40,10 @@ METHOD = (
     ("webtoken", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", re.ASCII)),
     ("armour", re.compile(r"-----BEGIN (?:[A-Z]{2,10} ){0,2}PRIVATE KEY-----")),
 )
+#: What follows the opening line of a key: up to its END line, else its base64 lines.
+_END = re.compile(r"-----END (?:[A-Z]{2,10} ){0,2}PRIVATE KEY-----")
+_BODY = re.compile(r"""(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{40,}+={0,2})*+(?:(?:\r?\n[ \t]*+|\\n)[A-Za-z0-9+/]++={0,2}(?=[ \t]*+(?:\r?\n|\\[nr]|["']|$)))?""")
+_BREAK = re.compile(r"\s|\\[nr]")
 KINDS = ("assign", "access", "hex", *(name for name, _ in METHOD))
 
 EXAMPLE_OWNERS = 3
@@ -50,7 +55,22 @@ _SPANS = "array<struct<start:long,rank:int,end:long,kind:string,hash:binary,entr
 
 def _entropy(value: str) -> float:
     n = len(value)
-    return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+    return -sum((c / n * math.log2(c / n) for c in Counter(value).values()), 0.0)
+
+
+def _keys(text: str, pattern: re.Pattern) -> list[tuple[int, int, str, str]]:
+    """(start, end, value, body) of keys in armour. The value is the opening line and the body, without line breaks, however these are written."""
+    opened = list(pattern.finditer(text)) if "-----BEGIN " in text else []
+    limits = [x.start() for x in opened[1:]] + [len(text)]
+    out = []
+    for m, limit in zip(opened, limits, strict=False):
+        if closed := _END.search(text, m.end(), limit):
+            end, last = closed.end(), closed.start()
+        else:
+            end = last = _BODY.match(text, m.end(), limit).end()
+        body = _BREAK.sub("", text[m.end() : last])
+        out.append((m.start(), end, m.group() + body, body))
+    return out
 
 
 def find_secrets(text: str | None) -> list[dict]:
@@ -61,10 +81,16 @@ def find_secrets(text: str | None) -> list[dict]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), m.group()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), 2, m.end(), m.group()) for m in HEX.finditer(text)]
-    for rank, (_, pattern) in enumerate(METHOD, 3):
-        found += [(m.start(), rank, m.end(), m.group()) for m in pattern.finditer(text)]
+    bodies = {}
+    for rank, (name, pattern) in enumerate(METHOD, 3):
+        if name == "armour":
+            for start, end, value, body in _keys(text, pattern):
+                found.append((start, rank, end, value))
+                bodies[start, rank] = body
+        else:
+            found += [(m.start(), rank, m.end(), m.group()) for m in pattern.finditer(text)]
     return [
-        {"start": s, "rank": r, "end": e, "kind": KINDS[r], "hash": hashlib.sha256(v.encode()).digest()[:16], "entropy": _entropy(v)}
+        {"start": s, "rank": r, "end": e, "kind": KINDS[r], "hash": hashlib.sha256(v.encode()).digest()[:16], "entropy": _entropy(bodies.get((s, r), v))}
         for s, r, e, v in sorted(found)
     ]
 
