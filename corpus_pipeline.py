@@ -2,7 +2,7 @@
 
 Every stage works on what its predecessor wrote; all but the last return the
 columns of ``documents``. Stages can't be expressed in SQL, so there is no
-``ORACLE_SQL``; tests/llm checks each against a brute-force version.
+``ORACLE_SQL``; tests/llm runs them on small hand-made cases.
 """
 
 from __future__ import annotations

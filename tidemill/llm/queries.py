@@ -80,5 +80,5 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-#: None of the operators is within reach of SQL on whole tables; tests/llm has brute-force versions.
+#: None of the operators is within reach of SQL on whole tables; tests/llm has brute-force versions of some (see README).
 ORACLE_SQL: dict[str, str] = {}
