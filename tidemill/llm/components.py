@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import staged
+from tidemill.llm.common import release, staged
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among a node's neighbours and then the
     label of that label, so long chains shrink by halves. Rounds work on the
-    links alone and are written to the shared folder; nothing is collected.
+    links alone and are written to the shared folder, where a round's table
+    goes when the next is there; nothing is collected.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
     both = staged(both, "links")
@@ -27,8 +28,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         jumped = staged(
             nearest.alias("x").join(labels.select(F.col("node").alias("_n"), F.col("label").alias("_jump")), F.col("label") == F.col("_n"), "left")
             .select("node", "_old", F.least("label", "_jump").alias("label")),
-            "labels",
+            "labels", labels,
         )
-        labels = jumped.select("node", "label")
         if jumped.where("label != _old").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+            release(both)
+            return jumped.select("node", F.col("label").alias("component"))
+        labels = jumped

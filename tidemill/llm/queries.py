@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm.bagminhash import near_duplicates
+from tidemill.llm.bagminhash import duplicate_classes
 from tidemill.llm.compact_windows import near_passages
 from tidemill.llm.decontamination import contamination
 from tidemill.llm.language_id import identify_languages
@@ -53,7 +53,7 @@ def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size", "kept")
+    return duplicate_classes(read(spark, sf_dir, "documents"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

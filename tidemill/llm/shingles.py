@@ -10,26 +10,13 @@ import xxhash
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHashes(dict):
-    """word -> hash; emptied when full, since a hash can be had again."""
-
-    def __missing__(self, word):
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = _WordHashes()
-
-
 def words(text: str | None) -> list[bytes]:
     """Lower-cased words between ASCII white space."""
     return text.lower().encode().split() if text else []
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    return np.array([_HASHES[w] for w in words(text)], np.uint64)
+    return many_word_hashes([text])[0]
 
 
 def many_word_hashes(texts: list[str | None]) -> list[np.ndarray]:
@@ -66,9 +53,14 @@ def shingle_hashes(hashes: np.ndarray, size: int = 5) -> np.ndarray:
     return mix(out + np.uint64(width))
 
 
+def bag(hashes: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of a list of word hashes, in order, and how often each occurs."""
+    return np.unique(shingle_hashes(hashes, size), return_counts=True)
+
+
 def multiset(text: str | None, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of a text, in order, and how often each occurs."""
-    return np.unique(shingle_hashes(word_hashes(text), size), return_counts=True)
+    return bag(word_hashes(text), size)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:

@@ -1,8 +1,9 @@
 """Numbers for words, with the token ids of each word found once.
 
-Words recur, tokenisers are slow: a worker keeps the ids of the words it has
-met. The table is emptied between batches when it is full, so its memory is
-bounded; what is emptied is encoded again, and results don't depend on it.
+Words recur, tokenisers are slow: a task keeps the ids of the words it has
+met. The table is emptied between slices of a batch when it is full, so its
+memory is bounded; what is emptied is encoded again, and results don't depend
+on it. A worker keeps the tokeniser for its next task, but no words.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ def kept(key: Hashable, make: Callable):
 class WordCache(dict):
     """word -> number, in the order met; ``ids`` has the token ids of each number, as bytes."""
 
-    def __init__(self, encode: Callable[[list], Sequence[bytes | None]], most: int = 800_000):
+    def __init__(self, encode: Callable[[list], Sequence[bytes | None]], most: int = 200_000):
         super().__init__()
         self.encode, self.most = encode, most
         self.ids: list[bytes | None] = []
@@ -40,9 +41,12 @@ class WordCache(dict):
             self.new = []
 
     def trim(self) -> bool:
-        """Empty a full table; only between batches, since numbers change."""
+        """Empty a full table; only between slices, since numbers change."""
         if len(self) <= self.most:
             return False
+        self.empty()
+        return True
+
+    def empty(self) -> None:
         self.clear()
         self.ids, self.new = [], []
-        return True
