@@ -8,6 +8,7 @@ import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,11 +133,13 @@ def slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
+def byte_lengths(texts: pa.Array) -> list[int]:
+    return pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts in ``column`` hold about ``most`` bytes, so that few are Python objects at once."""
-    import pyarrow.compute as pc
-
-    for lo, hi in slices(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist(), most):
+    for lo, hi in slices(byte_lengths(batch.column(column)), most):
         yield batch.slice(lo, hi - lo)
 
 
