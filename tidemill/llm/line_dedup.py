@@ -16,13 +16,15 @@ order of (document, row, position) stays.
    with those that would go.
 
 Counting combines before it shuffles, so a chunk that a third of all rows hold
-costs a row per task; the joins are plain equi-joins, which adaptive execution
-splits where a key is hot.
+costs a row per task, and such a chunk is joined where its rows are (see
+``join_counted``). Texts that neither lose a line nor hold a first place don't
+leave their task; those that do are picked by a broadcast of row numbers, if
+these are few enough, and by an exchange otherwise.
 
 Defined results: a null text stays null; a text without a line break is never
 changed; a run that overlaps its first place in the same text stays; other
-columns of the input are returned as they are. The first place of a line is
-never removed.
+columns of the input are returned as they are, whatever their names. The first
+place of a line is never removed.
 
 ``dedup_lines`` is the earlier operator: chunks that don't overlap, each equal
 to a whole earlier chunk. It misses most short runs and is not registered.
@@ -30,12 +32,14 @@ to a whole earlier chunk. It misses most short runs and is not registered.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import numbered, staged
+from tidemill.llm.common import byte_lengths, join_counted, numbered, of_arrays, pieces, shielded, slices, small_enough, staged
 
 WINDOW = 2
 DIVISOR = 4
@@ -100,7 +104,7 @@ def line_runs(lines: list[bytes], least: int = MIN_LINES, chars: int = MIN_CHARS
     return sorted(out)
 
 
-def _runs(text: str | None) -> list[dict]:
+def _runs(text: str | None, chars: int = MIN_CHARS) -> list[dict]:
     if not text or "\n" not in text:
         return []
     lines = text.encode().split(b"\n")
@@ -109,21 +113,19 @@ def _runs(text: str | None) -> list[dict]:
     for line in lines:
         before.append((before[-1] * _RUN_BASE + xxhash.xxh3_128_intdigest(line)) % _PRIME)
         power.append(power[-1] * _RUN_BASE % _PRIME)
-    return [{"pos": i, "n": n, "key": ((before[i + n] - before[i] * power[n]) % _PRIME).to_bytes(16, "big")} for i, n in line_runs(lines)]
+    return [{"pos": i, "n": n, "key": ((before[i + n] - before[i] * power[n]) % _PRIME).to_bytes(16, "big")} for i, n in line_runs(lines, chars=chars)]
 
 
 def _with_lists(docs: DataFrame, of) -> DataFrame:
     """All columns of ``docs``, with ``_tm_row`` and ``_tm_chunks``, the list that ``of`` makes of a text."""
-    rows = numbered(docs, "_tm_row")
     kind = pa.list_(pa.struct([("pos", pa.int32()), ("n", pa.int32()), ("key", pa.binary())]))
 
-    def cut(batches):
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = pa.array([of(t) for t in batch.column("text").to_pylist()], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "_tm_chunks"])
+            parts = [pa.array([of(t) for t in batch.slice(lo, hi - lo).to_pylist()], kind) for lo, hi in slices(byte_lengths(batch), 500_000)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(cut, f"{schema}, _tm_chunks {_CHUNKS}")
+    return numbered(docs, "_tm_row").withColumn("_tm_chunks", of_arrays(cut, _CHUNKS)("text"))
 
 
 def repeated_runs(rows: DataFrame) -> DataFrame:
@@ -132,8 +134,8 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
     # nulls sort last, so that a known document keeps its lines
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_tm_row", "pos")
     first = chunks.groupBy("key").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    first = first.select("key", F.col("_first._tm_row").alias("first_row"), F.col("_first.pos").alias("first_pos"))
-    hits = chunks.join(first, "key").where((F.col("_tm_row") != F.col("first_row")) | (F.col("first_pos") + F.col("n") <= F.col("pos")))
+    first = staged(first.select("key", F.col("_first._tm_row").alias("first_row"), F.col("_first.pos").alias("first_pos"), "_n"), "first-places")
+    hits = join_counted(chunks, first, "key", "_n").where((F.col("_tm_row") != F.col("first_row")) | (F.col("first_pos") + F.col("n") <= F.col("pos")))
     lists = hits.groupBy("_tm_row").agg(F.collect_list(F.struct("first_row", "first_pos", "pos", "n")).alias("_hits"))
 
     def join(batches):
@@ -159,7 +161,7 @@ def _cut(rows: DataFrame) -> DataFrame:
     """``first_row, first_pos, n, lines`` of each run that ``_tm_wanted`` asks for."""
 
     def cut(batches):
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, "text")):
             out = []
             for row, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("_tm_row", "text", "_tm_wanted")), strict=True):
                 lines = text.split("\n")
@@ -176,7 +178,7 @@ def _without_runs(rows: DataFrame, counts: bool) -> DataFrame:
     names = [c for c in rows.columns if c != "_tm_hits"]
 
     def remove(batches):
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, "text")):
             hits, texts = batch.column("_tm_hits"), batch.column("text")
             out, lost, runs = [], [], []
             for i, found in enumerate(hits.to_pylist()):
@@ -200,22 +202,28 @@ def _without_runs(rows: DataFrame, counts: bool) -> DataFrame:
     return rows.mapInArrow(remove, schema + (", removed_lines long, removed_chunks long" if counts else ""))
 
 
-def dedup_line_runs(docs: DataFrame, counts: bool = True) -> DataFrame:
+def dedup_line_runs(docs: DataFrame, counts: bool = True, min_chars: int = MIN_CHARS) -> DataFrame:
     """All columns of ``docs``, ``text`` without repeated runs; ``counts`` adds ``removed_lines`` and ``removed_chunks`` (runs), or replaces them.
 
-    ``docs`` needs ``doc_id, text``. Columns whose names start with ``_tm_``
-    are used on the way.
+    ``docs`` needs ``doc_id, text``. Runs of fewer than ``min_chars`` characters
+    besides white space, such as two closing brackets, stay.
     """
-    rows = staged(_with_lists(docs, _runs), "line-chunks")
+    own, given = shielded(docs.drop("removed_lines", "removed_chunks") if counts else docs)
+    rows = staged(_with_lists(own, lambda text: _runs(text, min_chars)), "line-chunks")
     runs = staged(repeated_runs(rows), "line-runs")
-    names = [c for c in docs.columns if not counts or c not in ("removed_lines", "removed_chunks")]
-    # both joins read this alike, so its texts are exchanged once
-    base = rows.select("_tm_row", *(F.col(f"`{c}`") for c in names)).where("_tm_row is not null")
-    wanted = runs.select(F.col("first_row").alias("_tm_row"), "first_pos", "n").distinct().groupBy("_tm_row").agg(F.collect_list(F.struct("first_pos", "n")).alias("_tm_wanted"))
-    first = _cut(base.join(wanted, "_tm_row"))
-    hits = runs.join(first, ["first_row", "first_pos", "n"]).groupBy("_tm_row").agg(F.collect_list(F.struct("pos", "n", "lines")).alias("_tm_hits"))
-    kept = base.join(hits, "_tm_row", "left").drop("_tm_row")
-    return _without_runs(kept, counts)
+    base = rows.drop("_tm_chunks")
+    wanted = runs.select(F.col("first_row").alias("_tm_row"), "first_pos", "n").distinct()
+    holders = staged(wanted.select("_tm_row").distinct(), "holders")
+    wanted = wanted.groupBy("_tm_row").agg(F.collect_list(F.struct("first_pos", "n")).alias("_tm_wanted"))
+    first = _cut(base.select("_tm_row", "text").join(small_enough(holders), "_tm_row", "left_semi").join(wanted, "_tm_row"))
+    lines = runs.join(first, ["first_row", "first_pos", "n"]).groupBy("_tm_row").agg(F.collect_list(F.struct("pos", "n", "lines")).alias("_tm_hits"))
+    hits = staged(lines, "line-hits", runs, holders)
+    changed = small_enough(hits.select("_tm_row"))
+    cut = _without_runs(base.join(changed, "_tm_row", "left_semi").join(hits, "_tm_row").drop("_tm_row"), counts)
+    same = base.join(changed, "_tm_row", "left_anti").drop("_tm_row")
+    if counts:
+        same = same.withColumns({"removed_lines": F.lit(0).cast("long"), "removed_chunks": F.lit(0).cast("long")})
+    return same.unionByName(cut).withColumnsRenamed(given)
 
 
 def repeated_chunks(rows: DataFrame) -> DataFrame:
@@ -245,9 +253,9 @@ def repeated_chunks(rows: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
     """All columns of ``docs``, ``text`` without repeated chunks; ``counts`` adds ``removed_lines`` and ``removed_chunks``, or replaces them.
 
-    ``docs`` needs ``doc_id, text``. Two columns whose names start with
-    ``_tm_`` are used on the way.
+    ``docs`` needs ``doc_id, text``.
     """
+    docs, given = shielded(docs)
     rows = staged(_with_lists(docs, _chunks), "line-chunks")
     gone = repeated_chunks(rows).groupBy("_tm_row").agg(
         F.sort_array(F.collect_list(F.struct("pos", "n"))).alias("_tm_gone")
@@ -275,4 +283,4 @@ def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
         F.when(F.col("_tm_gone").isNull(), 0).otherwise(F.size("_tm_gone")).cast("long").alias("removed_chunks"),
     ]
     names = [c for c in docs.columns if not counts or c not in ("removed_lines", "removed_chunks")]
-    return joined.select(*(text if c == "text" else F.col(f"`{c}`") for c in names), *(added if counts else []))
+    return joined.select(*(text if c == "text" else F.col(f"`{c}`") for c in names), *(added if counts else [])).withColumnsRenamed(given)
