@@ -29,16 +29,21 @@ import bisect
 import zlib
 from array import array
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import documents, map_batches, numbered, slices, staged
+from tidemill.llm.common import documents, numbered, pieces, staged
 from tidemill.llm.wordcache import WordCache, kept
 
 TOKENIZER = "byte_bpe_50k.json"
 END_TOKEN = 2
+#: Words whose ids a worker remembers, about 200 bytes each.
+MOST_WORDS = 400_000
+#: Runs of a plan that are broadcast at most, about 50 bytes each.
+MOST_RUNS = 100_000
 GROUPS = 1024
 #: Lengths under this part of the capacity are small.
 SMALL = 1 / 16
@@ -48,15 +53,12 @@ RANKED_PER_BUCKET = 200_000
 PIECES = "_row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class TextEncoder:
-    """Token ids of whole texts, found word by word.
-
-    A byte-level BPE vocabulary splits texts before it merges, and always
-    between a character that is no white space and a single space. So texts
-    are cut there; one with other white space around a cut is encoded whole.
+class Vocabulary:
+    """A byte-level BPE vocabulary, read from its ``tokenizers`` file.
 
-    The vocabulary is read from its ``tokenizers`` file. Words are merged by
-    tiktoken, which gives the same ids in a quarter of the time.
+    Words are merged by tiktoken, which gives the same ids in a quarter of the
+    time. It doesn't know the tokens that the file adds to the merges, so
+    ``tokenizers`` itself encodes texts that hold one.
     """
 
     def __init__(self, path: str):
@@ -64,34 +66,56 @@ class TextEncoder:
         import tiktoken
         from tokenizers import Tokenizer
 
-        vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
-        ranks = {_token_bytes(token): i for token, i in vocabulary.items()}
+        self.whole = Tokenizer.from_file(path)
+        self.added = [token.content for token in self.whole.get_added_tokens_decoder().values()]
+        ranks = {_token_bytes(token): i for token, i in self.whole.get_vocab(with_added_tokens=False).items() if token not in self.added}
         ranks = {token: i for token, i in ranks.items() if token is not None}
         self.model = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.heads = WordCache(lambda words: self._encode(words, ""))
-        self.rest = WordCache(lambda words: self._encode(words, " "))
 
-    def _ids(self, text: str) -> bytes:
+    def ids(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
         return array("I", self.model.encode_ordinary(text)).tobytes()
 
+    def ids_with_added(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+class TextEncoder:
+    """Token ids of whole texts, found word by word.
+
+    A byte-level BPE vocabulary splits texts before it merges, and always
+    between a character that is no white space and a single space. So texts
+    are cut there; one with other white space around a cut, or with an added
+    token, is encoded whole.
+    """
+
+    def __init__(self, path: str):
+        self.vocabulary = Vocabulary(path)
+        self.heads = WordCache(lambda words: self._encode(words, ""), MOST_WORDS)
+        self.rest = WordCache(lambda words: self._encode(words, " "), MOST_WORDS)
+
     def _encode(self, words: list[str], before: str) -> list[bytes | None]:
-        return [None if not w or w[0].isspace() or w[-1].isspace() else self._ids(before + w) for w in words]
+        return [None if not w or w[0].isspace() or w[-1].isspace() else self.vocabulary.ids(before + w) for w in words]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         self.heads.trim()
         self.rest.trim()
         heads, rest = self.heads, self.rest
+        special = [any(a in t for a in self.vocabulary.added) for t in texts]
         numbers = []
-        for text in texts:
-            head, *words = text.split(" ")
+        for text, odd in zip(texts, special, strict=True):
+            head, *words = [""] if odd else text.split(" ")
             numbers.append((heads[head], [rest[w] for w in words]))
         heads.fill()
         rest.fill()
         out = []
-        for text, (head, words) in zip(texts, numbers, strict=True):
+        for text, odd, (head, words) in zip(texts, special, numbers, strict=True):
+            if odd:
+                out.append(self.vocabulary.ids_with_added(text))
+                continue
             ids = [heads.ids[head], *[rest.ids[w] for w in words]]
-            out.append(self._ids(text) if None in ids else b"".join(ids))
+            out.append(self.vocabulary.ids(text) if None in ids else b"".join(ids))
         return out
 
 
@@ -123,15 +147,14 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
 
     model_path = tokenizer or path(TOKENIZER)
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = kept((__name__, model_path), lambda: TextEncoder(model_path))
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        rows, ids = batch.column("_row").to_pylist(), batch.column("doc_id").to_pylist()
         last = end.to_bytes(4, "little")
-        out: list[tuple] = []
-        held: list[bytes] = []
-        for lo, hi in slices([len(t) for t in texts], 1_000_000):
-            for i, tokens in enumerate(encode(texts[lo:hi]), lo):
+        for batch in (piece for whole in batches for piece in pieces(whole, "text", 1_000_000)):
+            rows, ids = batch.column("_row").to_pylist(), batch.column("doc_id").to_pylist()
+            out: list[tuple] = []
+            held: list[bytes] = []
+            for i, tokens in enumerate(encode([t or "" for t in batch.column("text").to_pylist()])):
                 view, n, start, piece = memoryview(tokens + last), len(tokens) // 4 + 1, 0, 0
                 length = n % capacity or min(n, capacity)
                 while start < n:
@@ -140,16 +163,16 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
                     if with_ids:
                         held.append(bytes(part))
                     start, piece, length = start + length, piece + 1, capacity
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        columns = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-        names = [x.split()[0] for x in PIECES.split(", ")]
-        if with_ids:
-            columns.append(pa.array([list(memoryview(x).cast("I")) for x in held], pa.list_(pa.int64())))
-            names.append("ids")
-        return pa.RecordBatch.from_arrays(columns, names)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            columns = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            names = [x.split()[0] for x in PIECES.split(", ")]
+            if with_ids:
+                columns.append(pa.array([list(memoryview(x).cast("I")) for x in held], pa.list_(pa.int64())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = numbered(documents(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), "_row")
-    return map_batches(rows, cut, PIECES + (", ids array<long>" if with_ids else ""))
+    return rows.mapInArrow(cut, PIECES + (", ids array<long>" if with_ids else ""))
 
 
 class _Bins:
@@ -279,35 +302,36 @@ def _best_fit(bins: _Bins, spaces: list[int], length: int, n: int) -> None:
         n, rank = n - take, rank + take
 
 
-def _runs_table(spark: SparkSession, runs: list[tuple[int, int, int, int, int]]) -> DataFrame:
-    schema = "length long, _low long, _high long, _first long, offset long"
-    return spark.createDataFrame(runs, schema)
+def _placed(ranked: DataFrame, starts: DataFrame, runs: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """``ranked`` with the run that each piece is in.
+
+    More runs than may be broadcast are first joined to the buckets of their
+    length, a few rows each, and then by length and bucket, so that a length
+    that most pieces have is not one task.
+    """
+    table = ranked.sparkSession.createDataFrame(runs, "length long, _low long, _high long, _first long, offset long")
+    within = (F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_high"))
+    if len(runs) <= MOST_RUNS:
+        return ranked.join(F.broadcast(table.withColumnRenamed("length", "_length")), (F.col("length") == F.col("_length")) & within)
+    met = starts.join(table, "length").where((F.col("_low") < F.col("_start") + F.col("_n")) & (F.col("_high") > F.col("_start")))
+    return ranked.join(met.drop("_start", "_n"), ["length", "_bucket"]).where(within)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, groups: int = GROUPS, with_ids: bool = False) -> DataFrame:
     """Every piece with its sequence and its place there (see the module)."""
-    spark = docs.sparkSession
-    pieces = staged(token_pieces(docs, tokenizer, capacity, with_ids=with_ids), "pieces")
+    made = staged(token_pieces(docs, tokenizer, capacity, with_ids=with_ids), "pieces")
     # at most ``capacity`` rows, whatever the corpus
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = packing_plan(histogram, capacity, groups)
     buckets = max(32, sum(histogram.values()) // RANKED_PER_BUCKET)
-    salted = pieces.withColumn("_bucket", F.pmod(F.xxhash64("_row", "piece"), F.lit(buckets)))
+    salted = made.withColumn("_bucket", F.pmod(F.xxhash64("_row", "piece"), F.lit(buckets)))
     within = Window.partitionBy("length", "_bucket")
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        salted.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-        .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
+    starts = salted.groupBy("length", "_bucket").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     ranked = (
         salted.withColumn("_place", F.row_number().over(within.orderBy("doc_id", "piece", "_row")))
-        .join(starts, ["length", "_bucket"])
+        .join(starts.drop("_n"), ["length", "_bucket"])
         .withColumn("_rank", F.col("_start") + F.col("_place") - 1)
     )
-    table = _runs_table(spark, runs)
-    if len(runs) <= 100_000:  # 5 MB
-        table = F.broadcast(table)
-    placed = ranked.join(table.withColumnRenamed("length", "_length"), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_high")))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", (F.col("_first") + F.col("_rank") - F.col("_low")).alias("sequence_id"), "offset"]
-    return placed.select(*columns, *(["ids"] if with_ids else []))
+    return _placed(ranked, starts, runs).select(*columns, *(["ids"] if with_ids else []))
