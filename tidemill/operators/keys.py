@@ -74,9 +74,29 @@ def expand_relations(orders: DataFrame, customer: DataFrame, nation: DataFrame)
     return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_name", "n_name")
 
 
-@QUERIES.of("lineitem", sql="SELECT DISTINCT l_partkey, l_suppkey FROM lineitem")
+def linked_pairs(junction: DataFrame, columns: list[str]) -> DataFrame:
+    """``left, right, left_id, right_id``: each pair of links that a row of a junction makes, every pair of columns once."""
+    pairs = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).cast("long").alias("left_id"), F.col(b).cast("long").alias("right_id")) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    return junction.select(F.inline(F.array(*pairs))).where("left_id is not null and right_id is not null").distinct()
+
+
+@QUERIES.of("lineitem", sql=" UNION ALL ".join(f"SELECT DISTINCT '{a}' AS left, '{b}' AS right, {a} AS left_id, {b} AS right_id FROM lineitem" for a, b in (("l_orderkey", "l_partkey"), ("l_orderkey", "l_suppkey"), ("l_partkey", "l_suppkey"))))
 def junction_pairs(lineitem: DataFrame) -> DataFrame:
-    return lineitem.select("l_partkey", "l_suppkey").distinct()
+    return linked_pairs(lineitem, ["l_orderkey", "l_partkey", "l_suppkey"])
+
+
+@QUERIES.of("orders", "customer", sql=f"SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'o_custkey' END AS error FROM orders LEFT JOIN ({_KEPT}) ON o_custkey = c_custkey")
+def fk_resolve_required(orders: DataFrame, customer: DataFrame) -> DataFrame:
+    """A link that may not be missing: the row stays, and says what it lacks."""
+    found = resolve(orders.select("o_orderkey", "o_custkey"), "o_custkey", customer.where("c_custkey % 7 <> 0"), "c_custkey", "customer", "customer_id")
+    return found.select("o_orderkey", F.when(F.col("customer_id").isNull(), "o_custkey").alias("error"))
+
+
+@QUERIES.of("customer", sql="SELECT c.c_custkey, 'customer:' || lpad(lower(to_hex(p.c_custkey)), 16, '0') AS manager_id FROM customer c LEFT JOIN customer p ON p.c_custkey = CASE WHEN c.c_custkey % 10 = 0 THEN NULL ELSE c.c_custkey * 2 END")
+def fk_self_ref(customer: DataFrame) -> DataFrame:
+    """A table that refers to itself, also to rows that come later, to none, and to ones that aren't there."""
+    rows = customer.select("c_custkey", F.when(F.col("c_custkey") % 10 != 0, F.col("c_custkey") * 2).alias("manager"))
+    return resolve(rows, "manager", customer, "c_custkey", "customer", "manager_id").drop("manager")
 
 
 @QUERIES.of("customer", "supplier", sql="SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier")
@@ -84,6 +104,12 @@ def set_union(customer: DataFrame, supplier: DataFrame) -> DataFrame:
     return customer.select(F.col("c_nationkey").alias("nation")).union(supplier.select("s_nationkey")).distinct()
 
 
-@QUERIES.of("customer", "orders", sql="SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@QUERIES.of("customer", "orders", sql="SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 250000")
 def set_difference(customer: DataFrame, orders: DataFrame) -> DataFrame:
-    return customer.select("c_custkey").subtract(orders.select("o_custkey"))
+    return customer.select("c_custkey").subtract(orders.where("o_totalprice > 250000").select("o_custkey"))
+
+
+@QUERIES.of("orders", sql="SELECT o_orderkey % 50 AS k FROM orders EXCEPT ALL SELECT o_orderkey % 40 FROM orders")
+def set_difference_all(orders: DataFrame) -> DataFrame:
+    """With repeats: what one side has more often."""
+    return orders.select((F.col("o_orderkey") % 50).alias("k")).exceptAll(orders.select(F.col("o_orderkey") % 40))

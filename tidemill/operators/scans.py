@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.plans.declare import Queries
@@ -25,6 +25,13 @@ def keyset_page(df: DataFrame, keys: list[str], after: list | None, size: int, d
     return df.orderBy(*(F.desc(k) if descending else F.asc(k) for k in keys)).limit(size)
 
 
+def page_with_end(df: DataFrame, keys: list[str], after: list | None, size: int) -> DataFrame:
+    """``keyset_page`` with ``more``: whether rows follow. One row more than the page is read to know."""
+    rows = keyset_page(df, keys, after, size + 1)
+    here = Window.orderBy(*keys)  # a page, not the table
+    return rows.withColumns({"_n": F.row_number().over(here), "more": F.count("*").over(Window.partitionBy()) > size}).where(F.col("_n") <= size).drop("_n")
+
+
 def empty_as_null(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.when(F.trim(c) != "", F.col(c)) for c in columns})
 
@@ -34,6 +41,12 @@ def scan_keyset_page(orders: DataFrame) -> DataFrame:
     return keyset_page(orders.select("o_orderkey", "o_custkey"), ["o_orderkey"], [100], 50)
 
 
+@QUERIES.of("nation", sql="SELECT n_nationkey, n_name, false AS more FROM nation WHERE n_nationkey > 14 ORDER BY 1 LIMIT 10")
+def scan_last_page(nation: DataFrame) -> DataFrame:
+    """The last page is full, and still known to be the last."""
+    return page_with_end(nation.select("n_nationkey", "n_name"), ["n_nationkey"], [14], 10)
+
+
 @QUERIES.of("orders", sql="SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey < 900 ORDER BY 1 DESC LIMIT 50")
 def scan_keyset_desc(orders: DataFrame) -> DataFrame:
     return keyset_page(orders.select("o_orderkey", "o_custkey"), ["o_orderkey"], [900], 50, descending=True)

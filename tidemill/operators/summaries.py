@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.plans.declare import Queries
@@ -10,6 +13,174 @@ from tidemill.plans.declare import Queries
 QUERIES = Queries()
 
 
+def batches(df: DataFrame, key: str, size: int) -> DataFrame:
+    """The rows with ``batch``, their number in order of ``key`` in runs of ``size``, and ``is_last`` for the last row.
+
+    Ranks don't come from one window over the table: rows are dealt out by
+    ranges of the key, counted per range, and ranked within.
+    """
+    dealt = df.repartitionByRange(F.col(key)).withColumn("_range", F.spark_partition_id())
+    ranks = Window.partitionBy("_range").orderBy(key)
+    # a row per range, so this window is small whatever the table
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    placed = dealt.withColumn("_rank", F.row_number().over(ranks)).join(F.broadcast(starts), "_range").withColumn("_place", F.col("_before") + F.col("_rank"))
+    return placed.select(*df.columns, F.floor((F.col("_place") - 1) / size).cast("long").alias("batch"), (F.col("_place") == F.col("_all")).alias("is_last"))
+
+
+def document_bytes(df: DataFrame) -> Column:
+    """Bytes of a row as a JSON document, null fields left out."""
+    return F.octet_length(F.to_json(F.struct(*df.columns)))
+
+
+def byte_chunks(df: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
+    """The rows with ``chunk``: within a group, in order, a chunk is filled until the next row would make it larger than ``most``; a larger row is alone.
+
+    Where a chunk ends depends on where the one before it did, which no window
+    says. So rows are sorted within tasks and gone through once, a batch at a
+    time; a group is one task's, as its order asks for, but never held whole.
+    """
+    sorted_rows = df.repartition(F.col(group)).sortWithinPartitions(group, order)
+    place, bytes_ = df.columns.index(group), df.columns.index(size)
+
+    def fold(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, chunk, filled = object(), 0, 0
+        for batch in found:
+            out = []
+            for g, n in zip(batch.column(place).to_pylist(), batch.column(bytes_).to_pylist(), strict=True):
+                if g != last:
+                    last, chunk, filled = g, 0, 0
+                elif filled and filled + n > most:
+                    chunk, filled = chunk + 1, 0
+                filled += n
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "chunk"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return sorted_rows.mapInArrow(fold, f"{schema}, chunk long")
+
+
+def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key, whole."""
+    rank = F.struct(*order, *(c for c in df.columns if c not in order))
+    return df.groupBy(*keys).agg(F.min(rank).alias("_first")).select(*(F.col(f"_first.{c}") for c in df.columns))
+
+
+def tracked(df: DataFrame, table: str, order: str, most: int) -> DataFrame:
+    """The first ``most`` rows of each table, such as a rollback keeps."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(table).orderBy(order))).where(F.col("_n") <= most).drop("_n")
+
+
+def latest_versions(*maps: DataFrame, keys: list[str]) -> DataFrame:
+    """The union of id maps; of several entries for one key that of the last map counts."""
+    numbered = [m.withColumn("_version", F.lit(i)) for i, m in enumerate(maps)]
+    every = numbered[0]
+    for m in numbered[1:]:
+        every = every.unionByName(m)
+    others = [c for c in every.columns if c not in (*keys, "_version")]
+    last = every.groupBy(*keys).agg(F.max(F.struct("_version", *others)).alias("_last"))
+    return last.select(*keys, *(F.col(f"_last.{c}") for c in others))
+
+
+@QUERIES.of("orders", sql="SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS batch, row_number() OVER (ORDER BY o_orderkey DESC) = 1 AS is_last FROM orders")
+def batch_numbering(orders: DataFrame) -> DataFrame:
+    return batches(orders.select("o_orderkey"), "o_orderkey", 100)
+
+
+@QUERIES.of(
+    "orders",
+    sql="""WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, 40 + o_orderkey % 90 AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+    f AS (SELECT o_custkey, o_orderkey, k, n AS filled, CAST(0 AS BIGINT) AS chunk FROM o WHERE k = 1
+    UNION ALL SELECT o.o_custkey, o.o_orderkey, o.k, CASE WHEN f.filled + o.n > 200 THEN o.n ELSE f.filled + o.n END, f.chunk + CASE WHEN f.filled + o.n > 200 THEN 1 ELSE 0 END
+    FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.k = f.k + 1) SELECT o_orderkey, chunk FROM f""",
+)
+def batch_split_bytes(orders: DataFrame) -> DataFrame:
+    rows = orders.selectExpr("o_custkey", "o_orderkey", "40 + o_orderkey % 90 AS n_bytes")
+    return byte_chunks(rows, "o_custkey", "o_orderkey", "n_bytes", 200).select("o_orderkey", "chunk")
+
+
+@QUERIES.of("customer", sql="""SELECT c_custkey, length('{"c_custkey":' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ',"c_name":"' || c_name || '"' END || '}') AS n_bytes FROM customer""")
+def document_sizes(customer: DataFrame) -> DataFrame:
+    df = customer.select("c_custkey", F.when(F.col("c_custkey") % 2 == 1, F.col("c_name")).alias("c_name"))
+    return df.select("c_custkey", document_bytes(df).cast("long").alias("n_bytes"))
+
+
+@QUERIES.of("orders", sql="SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_orderstatus FROM orders ORDER BY o_custkey, o_orderdate, o_orderkey")
+def dedupe(orders: DataFrame) -> DataFrame:
+    rows = orders.select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate")
+    return first_rows(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+
+
+@QUERIES.of("orders", sql="SELECT o_orderstatus, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) <= 25")
+def capped_tracking(orders: DataFrame) -> DataFrame:
+    return tracked(orders.select("o_orderstatus", "o_orderkey"), "o_orderstatus", "o_orderkey", 25)
+
+
+_MAP = "SELECT 'customer' AS table_name, c_custkey AS source_id FROM customer UNION ALL SELECT 'supplier', s_suppkey FROM supplier UNION ALL SELECT 'part', p_partkey FROM part"
+
+
+def _id_map(customer: DataFrame, supplier: DataFrame, part: DataFrame) -> DataFrame:
+    rows = [df.select(F.lit(t).alias("table_name"), F.col(k).alias("source_id")) for t, k, df in (("customer", "c_custkey", customer), ("supplier", "s_suppkey", supplier), ("part", "p_partkey", part))]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+@QUERIES.of("customer", "supplier", "part", sql=f"SELECT table_name, count(*) AS n, min(source_id) AS first_id, max(source_id) AS last_id FROM ({_MAP}) GROUP BY 1")
+def id_map_stats(customer: DataFrame, supplier: DataFrame, part: DataFrame) -> DataFrame:
+    stats = [F.count("*").alias("n"), F.min("source_id").alias("first_id"), F.max("source_id").alias("last_id")]
+    return _id_map(customer, supplier, part).groupBy("table_name").agg(*stats)
+
+
+@QUERIES.of("customer", "supplier", "part", sql=f"SELECT table_name, source_id, CASE WHEN table_name = 'customer' AND source_id % 2 = 0 THEN 'new' ELSE 'old' END AS target FROM ({_MAP}) UNION ALL SELECT 'customer', -c_custkey - 1, 'new' FROM customer WHERE c_custkey % 50 = 0")
+def id_map_merge(customer: DataFrame, supplier: DataFrame, part: DataFrame) -> DataFrame:
+    old = _id_map(customer, supplier, part).withColumn("target", F.lit("old"))
+    changed = customer.where("c_custkey % 2 = 0").selectExpr("'customer' AS table_name", "c_custkey AS source_id", "'new' AS target")
+    added = customer.where("c_custkey % 50 = 0").selectExpr("'customer' AS table_name", "-c_custkey - 1 AS source_id", "'new' AS target")
+    return latest_versions(old, changed.union(added), keys=["table_name", "source_id"])
+
+
+@QUERIES.of("customer", "supplier", "part", sql=f"SELECT * FROM ({_MAP}) WHERE table_name IN ('part', 'supplier')")
+def id_map_subset(customer: DataFrame, supplier: DataFrame, part: DataFrame) -> DataFrame:
+    return _id_map(customer, supplier, part).where(F.col("table_name").isin("part", "supplier"))
+
+
+@QUERIES.of("orders", sql="SELECT count(DISTINCT o_custkey) AS n_tables, count(*) AS n_rows, count(*) FILTER (o_orderstatus = 'P') AS n_failed, bool_and(o_totalprice > 0) AS all_positive FROM orders")
+def sum_by_table(orders: DataFrame) -> DataFrame:
+    """Totals of a run over its tables, from a row per table."""
+    tables = orders.groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "P").alias("failed"), F.bool_and(F.col("o_totalprice") > 0).alias("fine"))
+    return tables.agg(F.count("*").alias("n_tables"), F.sum("n").alias("n_rows"), F.sum("failed").alias("n_failed"), F.bool_and("fine").alias("all_positive"))
+
+
+@QUERIES.of("orders", sql="SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 6 <> 0")
+def rollback_effect(orders: DataFrame) -> DataFrame:
+    """A table after the rows of one run are taken out of it again, by the run's name on them."""
+    runs = orders.select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 6 == 0, "run-2").otherwise("run-1").alias("run"))
+    return runs.where("run <> 'run-2'").drop("run")
+
+
+@QUERIES.of("orders", sql="SELECT o_orderkey, o_orderstatus FROM orders")
+def resume_effect(orders: DataFrame) -> DataFrame:
+    """A table that a run left half copied, after the next run went on behind the last key."""
+    rows = orders.select("o_orderkey", "o_orderstatus")
+    half = rows.where(F.col("o_orderkey") <= rows.agg(F.floor(F.avg("o_orderkey"))).first()[0])
+    last = half.agg(F.max("o_orderkey")).first()[0]
+    return half.unionByName(rows.where(F.col("o_orderkey") > last))
+
+
+@QUERIES.of("events", sql="SELECT event_id, event_id - first_value(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS growth FROM events")
+def growth_frame(events: DataFrame) -> DataFrame:
+    """The change over the last ten samples."""
+    last_ten = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-9, 0)
+    return events.select("event_id", (F.col("event_id") - F.first("event_id").over(last_ten)).alias("growth"))
+
+
+@QUERIES.of("orders", sql="SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END DESC NULLS LAST, o_orderkey) AS place FROM orders ORDER BY 2 LIMIT 40")
+def sort_nulls(orders: DataFrame) -> DataFrame:
+    status = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus"))
+    first = orders.select("o_orderkey", status.alias("s")).orderBy(F.desc_nulls_last("s"), "o_orderkey").limit(40)
+    return first.select("o_orderkey", F.row_number().over(Window.orderBy(F.desc_nulls_last("s"), "o_orderkey")).alias("place"))
+
+
 @QUERIES.of("orders", sql="SELECT o_orderstatus, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total FROM orders GROUP BY 1")
 def view_refresh(orders: DataFrame) -> DataFrame:
     return orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))

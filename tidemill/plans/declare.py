@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,3 +30,9 @@ class Queries(dict[str, Query]):
             return fn
 
         return declare
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or else in the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemill.operators import checks, docstore, graph, keys, masking, scans, summaries, verify
 from tidemill.functions import converters, text
+from tidemill.operators import advice, checks, docstore, graph, keys, masking, projection, scans, summaries, verify
 from tidemill.plans.declare import Query
+from tidemill.sources import connections, sinks
 from tidemill.streaming import incremental
 
 FLAGSHIP = "project_document_orders"
-MODULES = (scans, keys, converters, text, summaries, masking, checks, docstore, verify, graph, incremental)
+MODULES = (scans, keys, converters, text, summaries, masking, checks, docstore, verify, graph, projection, advice, connections, sinks, incremental)
 
 QUERIES: dict[str, Query] = {name: run for module in MODULES for name, run in module.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for module in MODULES for name, sql in module.QUERIES.sql.items()}

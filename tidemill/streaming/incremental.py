@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemill.plans.declare import Queries
+from tidemill.operators.docstore import upsert
+from tidemill.plans.declare import Queries, scratch
 
 QUERIES = Queries()
 
@@ -15,8 +16,7 @@ QUERIES = Queries()
 def stream_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a sync of ``events`` that are purchases has written, all available files taken."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemill-")
-    out = f"{shared.rstrip('/')}/sync-{uuid.uuid4().hex}"
+    out = scratch(spark, "sync")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     chosen = stream.where("event_type = 'purchase'").select("event_id", "user_id")
     query = chosen.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows")
@@ -24,5 +24,36 @@ def stream_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(chosen.schema).parquet(f"{out}/rows")
 
 
+def sync(stream: DataFrame, out: str, write: Callable[[DataFrame, int], None]) -> None:
+    """Hand every new batch of a stream to ``write``; the checkpoint under ``out`` makes the next call go on where this one ended."""
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of a table of users after two arrivals of files with changes; the second call reads the second file alone."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
+    out = scratch(spark, "changes")
+    versions: list[str] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        # a version per batch: one that is run again after a failure writes the same folder
+        path = f"{out}/version-{number}"
+        last = F.max_by(F.struct("event_id", "event_type"), "event_id").alias("last")
+        changes = batch.groupBy("user_id").agg(last).select("user_id", "last.event_id", "last.event_type")
+        state = upsert(spark.read.parquet(versions[-1]), changes, "user_id") if versions else changes
+        state.write.mode("overwrite").parquet(path)
+        versions.append(path)
+
+    parity: Callable[[int], Column] = lambda k: F.col("event_id") % 2 == k
+    for k in (0, 1):
+        events.where(parity(k)).coalesce(1).write.mode("append").parquet(f"{out}/arrived")
+        sync(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/arrived"), out, write)
+    return spark.read.parquet(versions[-1])
+
+
+QUERIES["stream_upsert"] = stream_upsert
+QUERIES.sql["stream_upsert"] = (
+    "SELECT DISTINCT ON (user_id) user_id, event_id, event_type FROM events ORDER BY user_id, event_id % 2 DESC, event_id DESC"
+)
 QUERIES["stream_incremental"] = stream_incremental
 QUERIES.sql["stream_incremental"] = "SELECT event_id, user_id FROM events WHERE event_type = 'purchase'"
