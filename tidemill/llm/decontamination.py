@@ -8,15 +8,21 @@ counts if some ``WINDOW`` words (or the whole item, if shorter) agree in
 ``AGREE`` of their places.
 
 The benchmark's seeds are broadcast only if they are few (they are counted
-first); otherwise the join is an exchange by seed, which adaptive execution
-splits where a passage is hot. Hits are made distinct per (row, item,
-diagonal) before texts are fetched for them.
+first). A hit then takes the words around it along, so texts are read and
+hashed once and never exchanged. Otherwise the join is an exchange by seed,
+which adaptive execution splits where a passage is hot, and texts are fetched
+for the hits. Hits are made distinct per (row, item, diagonal) in either case.
+
+``MASKS`` meet every overlap of ``WINDOW`` words with up to two substitutions,
+and those with three but for 7 of 560; tests/llm enumerates them.
 
 Defined results: null and empty texts, of documents and of items, have no
-words and no hits; items of fewer words than the shortest mask are compared
-nowhere; items with equal words count as the one with the smallest id;
-repeated documents are judged one by one; other columns are returned by
-``decontaminate`` and not looked at otherwise.
+words and no hits. An item of fewer words than the longest mask is met where
+all of its words stand one after another; one of fewer than ``SHORTEST`` words
+only by a text that has no others, since common words would be met anywhere.
+Items with equal words are each reported. Repeated documents are judged one by
+one; other columns are returned by ``decontaminate`` as they are, whatever
+their names, and not looked at otherwise.
 """
 
 from __future__ import annotations
@@ -24,10 +30,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import numbered, staged
+from tidemill.llm.common import numbered, release, shielded, small_enough, staged
 
 #: Places that a mask looks at, from the first on.
 MASKS = ((0, 1, 3, 6, 7), (0, 2, 3, 5, 8))
+_LONGEST = 1 + max(m[-1] for m in MASKS)
+#: Words of an item that is looked for within texts.
+SHORTEST = 4
 WINDOW = 16
 AGREE = 0.8
 #: Seeds of the benchmark that are broadcast at most, about 24 bytes each.
@@ -64,45 +73,75 @@ def overlap(one: Column, other: Column, window: Column) -> Column:
     return F.array_max(F.transform(starts, lambda i: F.aggregate(F.slice(same, i, window), F.lit(0), lambda a, x: a + x)))
 
 
+def _short_seeds(hashes: str, lengths: list[int]) -> Column:
+    """(position, seed) of every run of as many words as a short item has."""
+
+    def runs(n: int) -> Column:
+        last = F.size(hashes) - n
+        seed = lambda i: F.xxhash64(F.lit(-n), *(F.get(F.col(hashes), i + p) for p in range(n)))
+        found = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("pos"), seed(i).alias("seed")))
+        fits = last >= 0 if n >= SHORTEST else last == 0
+        return F.when(fits, found).otherwise(F.array().cast("array<struct<pos:int,seed:bigint>>"))
+
+    return F.concat(*(runs(n) for n in lengths))
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
-    items = benchmark.select(F.col("item_id").cast("long"), word_hashes().alias("_item"))
-    return items.groupBy("_item").agg(F.min("item_id").alias("item_id")).where(F.size("_item") > 0)
+    """``rep, _item, ids``: the distinct word lists of the benchmark, each with all of its items."""
+    items = benchmark.select(F.col("item_id").cast("long"), word_hashes().alias("_item")).where(F.size("_item") > 0)
+    return items.groupBy("_item").agg(F.array_sort(F.collect_set("item_id")).alias("ids")).withColumn("rep", F.monotonically_increasing_id())
 
 
-def _contaminated(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _contaminated(rows: DataFrame, benchmark: DataFrame, most_broadcast: int) -> DataFrame:
+    """``_tm_row, doc_id, rep, ids, agreeing, doc_word`` of every overlap that counts; ``rows`` has ``_tm_row, doc_id, text``."""
     items = staged(_items(benchmark), "items")
-    wanted = staged(items.select("item_id", F.inline(seeds("_item"))).withColumnRenamed("pos", "_at"), "item-seeds")
-    few = wanted.count() <= MOST_BROADCAST
-    offered = rows.select("_tm_row", word_hashes().alias("_h")).select("_tm_row", F.inline(seeds()))
-    hits = offered.join(F.broadcast(wanted) if few else wanted, "seed")
-    # one hit of each diagonal and stretch: two hits of a stretch see the same surroundings
-    hits = hits.groupBy("_tm_row", "item_id", (F.col("pos") - F.col("_at")).alias("_diagonal"), F.floor(F.col("_at") / WINDOW).alias("_stretch")).agg(F.min("_at").alias("_at"))
-    # an item's words are few; they travel with the hit to the row
-    found = hits.join(F.broadcast(items) if few else items, "item_id")
-    first = F.greatest(F.lit(0), F.col("_at") - _AROUND, -F.col("_diagonal"))
+    # at most as many as a mask is long
+    lengths = sorted(r[0] for r in items.where(F.size("_item") < _LONGEST).select(F.size("_item")).distinct().collect())
+    long = items.where(F.size("_item") >= _LONGEST).select("rep", F.inline(seeds("_item")))
+    short = [items.where(F.size("_item") == n).select("rep", F.inline(_short_seeds("_item", [n]))) for n in lengths]
+    for some in short:
+        long = long.unionByName(some)
+    wanted = staged(long.withColumnRenamed("pos", "_at"), "item-seeds")
+    few = wanted.count() <= most_broadcast
+    offered = rows.select("_tm_row", "doc_id", word_hashes().alias("_h"))
+    every = F.concat(seeds(), _short_seeds("_h", lengths)) if lengths else seeds()
+    start = F.greatest(F.lit(0), F.col("_at") - _AROUND, F.col("_at") - F.col("pos"))
     width = F.lit(2 * _AROUND + WINDOW)
-    window = F.least(F.lit(WINDOW), F.size("_item"))
-    return (
-        found.join(rows.select("_tm_row", "doc_id", "text"), "_tm_row")
-        .select("_tm_row", "doc_id", "item_id", "_diagonal", "_item", first.alias("_first"), word_hashes().alias("_h"), window.alias("_window"))
-        .select(
-            "_tm_row", "doc_id", "item_id", "_window", (F.col("_first") + F.col("_diagonal")).alias("doc_word"),
-            overlap(F.slice("_item", F.col("_first") + 1, width), F.slice("_h", (F.col("_first") + F.col("_diagonal") + 1).cast("int"), width), F.col("_window")).alias("agreeing"),
-        )
-        .where(F.col("agreeing") >= F.ceil(F.col("_window") * AGREE))
+    around = lambda words: F.slice(words, (F.col("_first") + F.col("_diagonal") + 1).cast("int"), width)
+    place = [(F.col("pos") - F.col("_at")).alias("_diagonal"), F.floor(F.col("_at") / WINDOW).alias("_stretch"), start.alias("_first")]
+    # one hit of each diagonal and stretch: two hits of a stretch see nearly the same surroundings, and the first of them is taken
+    group = ["_tm_row", "doc_id", "rep", "_diagonal", "_stretch"]
+    if few:
+        hits = offered.select("_tm_row", "doc_id", "_h", F.inline(every)).join(F.broadcast(wanted), "seed")
+        hits = hits.select("_tm_row", "doc_id", "rep", *place, "_h").withColumn("_near", around("_h")).drop("_h")
+        hits = hits.groupBy(*group).agg(F.min(F.struct("_first", "_near")).alias("_hit")).select(*group, "_hit.*").join(F.broadcast(items), "rep")
+    else:
+        hits = offered.select("_tm_row", "doc_id", F.inline(every)).join(wanted, "seed").select("_tm_row", "doc_id", "rep", *place)
+        hits = hits.groupBy(*group).agg(F.min("_first").alias("_first")).join(items, "rep")
+        hits = hits.join(rows.select("_tm_row", word_hashes().alias("_h")), "_tm_row").withColumn("_near", around("_h")).drop("_h")
+    window = F.when(F.size("_item") < _LONGEST, F.size("_item")).otherwise(F.least(F.lit(WINDOW), F.size("_item")))
+    need = F.when(F.size("_item") < _LONGEST, F.col("_window")).otherwise(F.ceil(F.col("_window") * AGREE))
+    judged = hits.withColumn("_window", window).select(
+        "_tm_row", "doc_id", "rep", "ids", need.alias("_need"), (F.col("_first") + F.col("_diagonal")).alias("doc_word"),
+        overlap(F.slice("_item", F.col("_first") + 1, width), F.col("_near"), F.col("_window")).alias("agreeing"),
     )
+    return judged.where(F.col("agreeing") >= F.col("_need")).drop("_need")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """``doc_id, item_id, agreeing, doc_word``: a row per document row and item it holds a passage of."""
     rows = staged(numbered(docs.select(F.col("doc_id").cast("long"), "text"), "_tm_row"), "rows")
-    best = F.max(F.struct("agreeing", -F.col("doc_word"))).alias("_best")
-    found = _contaminated(rows, benchmark).groupBy("_tm_row", "doc_id", "item_id").agg(best)
-    return found.select("doc_id", "item_id", F.col("_best.agreeing").cast("long").alias("agreeing"), (-F.col("_best.col2")).cast("long").alias("doc_word"))
+    best = F.max(F.struct("agreeing", (-F.col("doc_word")).alias("_before"), "ids")).alias("_best")
+    found = _contaminated(rows, benchmark, most_broadcast).groupBy("_tm_row", "doc_id", "rep").agg(best)
+    found = found.select("doc_id", F.explode("_best.ids").alias("item_id"), F.col("_best.agreeing").cast("long").alias("agreeing"), (-F.col("_best._before")).cast("long").alias("doc_word"))
+    out = staged(found, "overlaps")
+    release(rows)
+    return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """The rows of ``docs`` that hold no passage of the benchmark, with all their columns."""
-    rows = staged(numbered(docs, "_tm_row"), "rows")
-    found = _contaminated(rows, benchmark).select("_tm_row").distinct()
-    return rows.join(found, "_tm_row", "left_anti").drop("_tm_row")
+    own, names = shielded(docs)
+    rows = staged(numbered(own, "_tm_row"), "rows")
+    found = staged(_contaminated(rows.select("_tm_row", "doc_id", "text"), benchmark, most_broadcast).select("_tm_row").distinct(), "contaminated")
+    return rows.join(small_enough(found), "_tm_row", "left_anti").drop("_tm_row").withColumnsRenamed(names)
