@@ -86,17 +86,21 @@ def mod97(account: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) == 1
 
 
-def running_starts(lengths: Column) -> Column:
-    """Sum of the elements before each element, by blocks so that lists of any size cost little."""
-    blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(lengths) - 1, F.lit(0)) / _BLOCK).cast("int"))
-
-    def block(b: Column) -> Column:
-        here = F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK))
-        base = F.aggregate(F.slice(lengths, F.lit(1), b * _BLOCK), F.lit(0).cast("long"), lambda a, x: a + x)
-        sums = F.aggregate(here, F.array(base), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-        return F.slice(sums, F.lit(1), F.size(here))
+def running_starts(lengths: str) -> Column:
+    """Sum of the elements before each element of a column, in two levels: within blocks, and over the sums of blocks.
 
-    return F.flatten(F.transform(blocks, block))
+    ``lengths`` is a column of its own, since what a lambda refers to is made
+    again for each of its calls.
+    """
+    blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(lengths) - 1, F.lit(0)) / _BLOCK).cast("int"))
+    here = lambda b: F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK))
+    onward = lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))
+    zero = F.lit(0).cast("long")
+    sums = F.transform(blocks, lambda b: F.aggregate(here(b), zero, lambda a, x: a + x))
+    bases = F.aggregate(sums, F.array(zero), onward)
+    # one base more than blocks: the last pair has no block
+    within = F.zip_with(blocks, bases, lambda b, base: F.when(b.isNotNull(), F.slice(F.aggregate(here(b), F.array(base), onward), F.lit(1), F.size(here(b)))))
+    return F.flatten(F.filter(within, lambda w: w.isNotNull()))
 
 
 def _valid(kind: str, match: Column) -> Column:
@@ -115,10 +119,14 @@ def _valid(kind: str, match: Column) -> Column:
 _PATTERNS = {"email": (EMAIL, r"@"), "ip": (IP, r"[0-9]\.[0-9]"), "card": (CARD, None), "phone": (PHONE, r"\+[0-9]"), "iban": (IBAN, r"[A-Z]{2}[0-9]{2}")}
 
 
-def _spans(kind: str, text: str, matches: str, gaps: str) -> Column:
+def _lengths(matches: str, gaps: str) -> Column:
+    """Code points of each match and of the gap before it."""
+    return F.transform(F.sequence(F.lit(1), F.size(matches)), lambda i: (F.length(F.get(gaps, i - 1)) + F.length(F.get(matches, i - 1))).cast("long"))
+
+
+def _spans(kind: str, matches: str, gaps: str, lengths: str) -> Column:
     """Confirmed spans of one kind from its matches and the gaps around them."""
     score, raising, lowering = SCORES[kind]
-    lengths = F.transform(F.sequence(F.lit(1), F.size(matches)), lambda i: (F.length(F.get(gaps, i - 1)) + F.length(F.get(matches, i - 1))).cast("long"))
 
     def span(start: Column, i: Column) -> Column:
         match, before, after = F.get(matches, i), F.get(gaps, i), F.get(gaps, i + 1)
@@ -143,7 +151,10 @@ def find_pii(docs: DataFrame) -> DataFrame:
         rows = rows.withColumn(f"_m_{kind}", F.when(F.col("text").rlike(needs), matches).otherwise(none) if needs else matches)
     for kind, (pattern, _) in _PATTERNS.items():
         rows = rows.withColumn(f"_g_{kind}", F.when(F.size(f"_m_{kind}") > 0, F.split("text", pattern, -1)).otherwise(none))
-    kind_spans = [_spans(kind, "text", f"_m_{kind}", f"_g_{kind}") for kind in KINDS]
+    none = F.array().cast("array<bigint>")
+    for kind in KINDS:
+        rows = rows.withColumn(f"_l_{kind}", F.when(F.size(f"_m_{kind}") > 0, _lengths(f"_m_{kind}", f"_g_{kind}")).otherwise(none))
+    kind_spans = [_spans(kind, f"_m_{kind}", f"_g_{kind}", f"_l_{kind}") for kind in KINDS]
     empty = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double,valid:boolean>>")
     return rows.select("doc_id", F.sort_array(F.concat(*(F.coalesce(s, empty) for s in kind_spans))).alias("found"))
 
