@@ -2,8 +2,9 @@
 
 Patterns propose candidates in whole texts. The hash of each candidate's
 value is counted over the corpus by distinct repositories and owners: a value
-that many owners hold is a copied example, one that a single owner holds and
-that looks random is a live-looking credential.
+that many owners hold is a copied example; one that a single owner holds, in
+few of its repositories, and that looks random is a live-looking credential;
+one that a single owner spreads over many repositories is its template.
 
 1. One pass finds the spans and hashes the values; only those are written.
 2. (hash, repository, owner) is made distinct and counted per hash; both
@@ -47,6 +48,8 @@ _BREAK = re.compile(r"\s|\\[nr]")
 KINDS = ("assign", "access", "hex", *(name for name, _ in METHOD))
 
 EXAMPLE_OWNERS = 3
+#: Repositories of one owner from which on a value is a template of that owner.
+TEMPLATE_REPOSITORIES = 5
 LIVE_ENTROPY = 3.0
 
 _SPAN = pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64()), ("kind", pa.string()), ("hash", pa.binary()), ("entropy", pa.float64())])
@@ -117,8 +120,10 @@ def ownership_frequency(found: DataFrame) -> DataFrame:
     return repositories.join(owners, "hash")
 
 
-def scan_secrets(docs: DataFrame, repository: str = "source", owner: str = "source", example_owners: int = EXAMPLE_OWNERS, live_entropy: float = LIVE_ENTROPY) -> DataFrame:
-    """One row per document: ``found``, the spans with counts and ``verdict`` (example, live, other)."""
+def scan_secrets(
+    docs: DataFrame, repository: str = "source", owner: str = "source", example_owners: int = EXAMPLE_OWNERS, template_repositories: int = TEMPLATE_REPOSITORIES, live_entropy: float = LIVE_ENTROPY,
+) -> DataFrame:
+    """One row per document: ``found``, the spans with counts and ``verdict`` (example, template, live, other)."""
     found = staged(_candidates(docs, repository, owner), "secrets")
     counted = (
         found.where(F.size("spans") > 0).select("_row", F.inline("spans"))
@@ -126,6 +131,7 @@ def scan_secrets(docs: DataFrame, repository: str = "source", owner: str = "sour
         .withColumn(
             "verdict",
             F.when(F.col("n_owners") >= example_owners, "example")
+            .when((F.col("n_owners") == 1) & (F.col("n_repositories") >= template_repositories), "template")
             .when((F.col("n_owners") == 1) & (F.col("entropy") >= live_entropy), "live").otherwise("other"),
         )
     )
@@ -152,4 +158,5 @@ def secret_digest(scanned: DataFrame) -> DataFrame:
         count("n_live", "verdict", "live"),
         count("n_example", "verdict", "example"),
         F.coalesce(F.array_max("found.n_owners"), F.lit(0)).cast("long").alias("most_owners"),
+        F.coalesce(F.array_max("found.n_repositories"), F.lit(0)).cast("long").alias("most_repositories"),
     )
