@@ -6,12 +6,13 @@ one to four, with square roots of their counts. A linear model per family
 family a linear support vector machine votes, margins break ties.
 
 Models are fitted on the driver from a bounded sample: at most ``PER_LANG``
-rows per language, those with the smallest hashes of their ids, and the first
-``TRAIN_CHARS`` characters of their texts. Predictions read whole texts in one pass
-without an exchange.
+rows per language and ``MOST_ROWS`` rows of all languages, those with the
+smallest hashes of their ids. Tasks turn their whole texts into vectors, of
+which the driver gets the places that aren't zero and lays out a few rows at a
+time. Predictions read whole texts in one pass without an exchange.
 
-Defined results: ``und`` with score 0 for a null text, one without a letter,
-or if nothing could be learned; languages outside ``FAMILIES`` are families
+Defined results: ``und`` with score 0 for a null text, one without a letter
+(a character of Unicode's category L), or if nothing could be learned; languages outside ``FAMILIES`` are families
 of their own; repeated rows are judged one by one; an empty table gives an
 empty result; other columns are not looked at.
 """
@@ -37,12 +38,15 @@ FAMILIES = {
 FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 
 PER_LANG = 1_500
-TRAIN_CHARS = 4_000
+MOST_ROWS = 12_000
 DIMENSIONS = 1 << 14
-_LETTER = re.compile(r"[^\W\d_]")
 _OTHERS = re.compile(r"[\W\d_]+")
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def features(text: str) -> np.ndarray:
     """Unit vector of hashed byte runs."""
     raw = np.frombuffer((" " + _OTHERS.sub(" ", text.lower()) + " ").encode(), np.uint8).astype(np.uint32)
@@ -58,9 +62,32 @@ def features(text: str) -> np.ndarray:
     return total / max(np.linalg.norm(total), 1e-9)
 
 
-def fit_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, epochs: int = 12, strength: float = 1e-4) -> np.ndarray:
+class Vectors:
+    """Unit vectors, as the places that aren't zero and their values; rows are laid out when they are asked for."""
+
+    def __init__(self, rows: list[tuple[bytes, bytes]]):
+        self.places = [np.frombuffer(p, np.uint16) for p, _ in rows]
+        self.values = [np.frombuffer(v, np.float32) for _, v in rows]
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Vectors:
+        return cls([packed(features(t)) for t in texts])
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), DIMENSIONS), np.float32)
+        for i, row in enumerate(rows):
+            out[i, self.places[row]] = self.values[row]
+        return out
+
+
+def packed(vector: np.ndarray) -> tuple[bytes, bytes]:
+    places = np.flatnonzero(vector)
+    return places.astype(np.uint16).tobytes(), vector[places].astype(np.float32).tobytes()
+
+
+def fit_svm(x: Vectors, rows: np.ndarray, y: np.ndarray, epochs: int = 12, strength: float = 1e-4) -> np.ndarray:
     """Weights of a linear SVM for labels of 1 and -1 of some rows of ``x``, by averaged sub-gradient steps in a fixed order."""
-    weights, mean, step = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0
+    weights, mean, step = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS), 0
     order = np.random.default_rng(7)
     share = {1: len(y) / max(1, 2 * (y > 0).sum()), -1: len(y) / max(1, 2 * (y < 0).sum())}
     balance = np.where(y > 0, share[1], share[-1])
@@ -85,7 +112,7 @@ class LanguageModel:
     pair_weights: dict[tuple[str, str], np.ndarray]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.families or not _LETTER.search(text):
+        if not self.families or not has_letter(text):
             return "und", 0.0
         x = features(text)
         margins = self.family_weights @ x
@@ -106,16 +133,16 @@ class LanguageModel:
 
 def train(rows: list[tuple[str, str]]) -> LanguageModel:
     """A model of (text, lang) rows."""
-    langs = sorted({lang for _, lang in rows})
+    return fitted(Vectors.of([t for t, _ in rows]), [lang for _, lang in rows])
+
+
+def fitted(x: Vectors, labels: list[str]) -> LanguageModel:
+    """A model of vectors with their languages."""
     grouped: dict[str, list[str]] = {}
-    for lang in langs:
+    for lang in sorted(set(labels)):
         grouped.setdefault(FAMILY.get(lang, lang), []).append(lang)
     families = sorted(grouped.items())
-    x = np.zeros((len(rows), DIMENSIONS), np.float32)
-    for i, (text, _) in enumerate(rows):
-        x[i] = features(text)
-    every = np.arange(len(rows))
-    known = np.array([lang for _, lang in rows])
+    every, known = np.arange(len(labels)), np.array(labels)
     ones = [fit_svm(x, every, np.where(np.isin(known, members), 1, -1)) for _, members in families] if len(families) > 1 else [np.zeros(DIMENSIONS)] * len(families)
     pairs = {}
     for _, members in families:
@@ -126,8 +153,8 @@ def train(rows: list[tuple[str, str]]) -> LanguageModel:
     return LanguageModel(families, np.array(ones) if ones else np.zeros((0, DIMENSIONS)), pairs)
 
 
-def training_sample(labelled: DataFrame, per_lang: int = PER_LANG, most_chars: int = TRAIN_CHARS) -> list[tuple[str, str]]:
-    """At most ``per_lang`` rows of each language, those with the smallest hashes of their ids; of rows with one id, one.
+def training_sample(labelled: DataFrame, per_lang: int = PER_LANG, most_rows: int = MOST_ROWS) -> tuple[Vectors, list[str]]:
+    """Vectors and languages of at most ``per_lang`` rows of each language and ``most_rows`` of all, those with the smallest hashes of their ids; of rows with one id, one.
 
     Rows are counted first, so that only hashes under a bound leave the scan:
     a quarter more than are wanted, whatever the size of the corpus.
@@ -135,15 +162,23 @@ def training_sample(labelled: DataFrame, per_lang: int = PER_LANG, most_chars: i
     rows = labelled.where("text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return []
-    shares = F.create_map(*(F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, 1.25 * per_lang / n))))
+        return Vectors([]), []
+    wanted = max(2, min(per_lang, most_rows // len(counts)))
+    shares = F.create_map(*(F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, 1.25 * wanted / n + 20 / n))))
     rank = F.xxhash64("doc_id", F.lit(1))
     some = rows.where(F.shiftrightunsigned(rank, 1) <= F.try_element_at(shares, F.col("lang")) * float(1 << 63))
-    some = some.select("lang", F.substring("text", 1, most_chars).alias("text"), rank.alias("_rank"))
-    some = some.groupBy("lang", "_rank").agg(F.min("text").alias("text"))
+    some = some.select("lang", "text", rank.alias("_rank")).groupBy("lang", "_rank").agg(F.min("text").alias("text"))
     within = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("_rank", 1), "_rank")
-    some = some.withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= per_lang)
-    return [(r["text"], r["lang"]) for r in some.select("text", "lang").collect() if _LETTER.search(r["text"])]
+    some = some.withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= wanted).select("lang", "text")
+
+    def made(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [(lang, *packed(features(t))) for lang, t in zip(*(batch.column(c).to_pylist() for c in ("lang", "text")), strict=True) if has_letter(t)]
+        columns = list(zip(*found, strict=True)) or [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.binary(), pa.binary()), strict=True)], ["lang", "places", "values"])
+
+    vectors = map_batches(some, made, "lang string, places binary, values binary").collect()  # about 10 KB a row
+    vectors.sort(key=lambda r: (r["lang"], bytes(r["places"]), bytes(r["values"])))
+    return Vectors([(bytes(r["places"]), bytes(r["values"])) for r in vectors]), [r["lang"] for r in vectors]
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -167,6 +202,6 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def identify_languages(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """Learn from the rows that aren't held out, predict all."""
     labelled = docs.where(~held_out() & F.col("doc_id").isNotNull())
-    model = train(training_sample(labelled.select("doc_id", "text", "lang"), per_lang))
+    model = fitted(*training_sample(labelled.select("doc_id", "text", "lang"), per_lang))
     found = predict_languages(docs, model)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
