@@ -1,23 +1,27 @@
 """License scan by an exact set-similarity join; built-in functions only.
 
-Blocks are paragraphs (runs of lines between blank lines), templates short
-license notices. A block matches a template if it holds at least
-``threshold`` of the template's distinct words. The join is exact:
+Blocks are paragraphs (runs of lines between blank lines), templates license
+notices. A block matches a template if it holds at least ``threshold`` of the
+template's distinct words. The join is exact:
 
-1. the words of the templates are ordered by how many blocks of the corpus
+1. one pass over the texts finds the phrases, and for each block the words
+   that any template has; the rest is done without the texts;
+2. the words of the templates are ordered by how many blocks of the corpus
    hold them, rarest first (a table of the templates' words, bounded by them);
-2. prefix filter: a block that holds ``need`` of a template's ``n`` words
-   holds one of its ``n - need + 1`` rarest;
-3. length filter: it has ``need`` distinct template words at least;
-4. positional filter: with its rarest shared word at place p of the template
-   and q of the block, ``1 + min(n - p, size - q)`` must reach ``need``;
-5. what is left is counted.
-
-Templates are few and short by contract (``MOST_WORDS`` is checked), so the
-join is done inside the row: no exchange, whatever the documents hold.
+3. prefix filter: a block that holds ``need`` of a template's ``n`` words
+   holds one of its ``n - need + 1`` rarest. The blocks' words are joined with
+   those of the templates' prefixes, so a template costs nothing where none of
+   its rare words stands. The table of prefixes is broadcast if it is small,
+   and otherwise exchanged by word;
+4. length filter: the block has ``need`` distinct template words at least;
+5. positional filter: with a shared word at place p of the template and q of
+   the block, ``1 + min(n - p, size - q)`` must reach ``need``, which holds for
+   the rarest shared word of every match;
+6. what is left is counted.
 
 Defined results: a null text counts as empty; a text without blank lines is
-one block; repeated rows are judged one by one; other columns of the input
+one block; a template without words matches nothing; repeated rows are judged
+one by one; an empty table gives an empty result; other columns of the input
 are not looked at.
 """
 
@@ -29,6 +33,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import numbered, release, staged
+
 #: Phrases whose words mark a license wherever they stand consecutively: fixed values.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
@@ -44,7 +50,8 @@ TEMPLATES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 THRESHOLD = 0.8
-MOST_WORDS = 20_000
+#: Words of the templates' prefixes that are broadcast at most, with their templates about 1 KB each.
+MOST_PREFIXES = 20_000
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLANK = r"\n[\x20\t\r]*\n"
@@ -60,53 +67,56 @@ def _n_words(joined: Column) -> Column:
     return F.when(joined == "", 0).otherwise(F.length(joined) - F.length(F.replace(joined, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
-def _known(blocks: Column, vocabulary: list[str]) -> Column:
-    words = F.array(*(F.lit(w) for w in vocabulary))
-    return F.transform(blocks, lambda b: F.array_intersect(words, F.split(_joined(b), " ")))
+def _listed(words: list[str]) -> Column:
+    """Words as one value, however many they are."""
+    return F.split(F.lit(" ".join(words)), " ")
 
 
-def word_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
-    """The vocabulary, from the word that fewest blocks of the corpus hold to the commonest."""
-    blocks = _known(F.split(F.coalesce("text", F.lit("")), BLANK, -1), vocabulary)
-    counts = docs.select(F.explode(F.flatten(blocks)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
+def word_order(blocks: DataFrame, vocabulary: list[str]) -> list[str]:
+    """The vocabulary, from the word that fewest blocks (``words``) hold to the commonest."""
+    counts = blocks.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
     held = {r["word"]: r["n"] for r in counts}  # a row per word of the templates
     return sorted(vocabulary, key=lambda w: (held.get(w, 0), w))
 
 
-def _containment(known: Column, words: list[str], order: dict[str, int], threshold: float) -> Column:
-    """Greatest share of one template's words over the blocks, 0 under the threshold.
+def _prefixes(docs: DataFrame, sets: dict[str, list[str]], order: dict[str, int], threshold: float) -> DataFrame:
+    """``word, p, label, n, need, template``: the rare words of each template, ``p`` their places in it from 1."""
+    rows = []
+    for label, words in sets.items():
+        words = sorted(words, key=order.__getitem__)
+        n = len(words)
+        need = max(1, math.ceil(threshold * n - 1e-9))
+        rows += [(w, p, label, n, need, words) for p, w in enumerate(words[: n - need + 1], 1)]
+    table = docs.sparkSession.createDataFrame(rows, "word string, p int, label string, n int, need int, template array<string>")
+    return F.broadcast(table) if len(rows) <= MOST_PREFIXES else table
 
-    ``known`` has each block's template words in the global order.
-    """
-    n = len(words)
-    need = max(1, math.ceil(threshold * n - 1e-9))
-    words = sorted(words, key=order.__getitem__)
-    template = F.array(*(F.lit(w) for w in words))
-    prefix = F.array(*(F.lit(w) for w in words[: n - need + 1]))
 
-    def share(block: Column) -> Column:
-        shared = F.array_intersect(prefix, block)  # in the order of the prefix
-        p = F.array_position(template, F.element_at(shared, 1))
-        q = F.array_position(block, F.element_at(shared, 1))
-        reach = 1 + F.least(F.lit(n) - p, F.size(block) - q)
-        count = F.size(F.array_intersect(template, block))
-        fits = F.when(reach >= need, F.when(count >= need, count / F.lit(float(n))))
-        return F.coalesce(F.when((F.size(block) >= need) & F.arrays_overlap(prefix, block), fits), F.lit(0.0))
+def containments(blocks: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+    """``_tm_row, label, share``: the greatest share of a template's words in any block (``_tm_row, words``) of a row, from ``threshold`` on."""
+    sets = {label: sorted(_words_of(text)) for label, text in templates.items()}
+    vocabulary = word_order(blocks, sorted({w for words in sets.values() for w in words}))
+    order = {w: i for i, w in enumerate(vocabulary)}
+    prefixes = _prefixes(blocks, {label: words for label, words in sets.items() if words}, order, threshold)
+    rare = sorted({w for words in sets.values() for w in sorted(words, key=order.__getitem__)[: len(words) - max(1, math.ceil(threshold * len(words) - 1e-9)) + 1] if words}, key=order.__getitem__)
+    ordered = blocks.select("_tm_row", F.array_intersect(_listed(vocabulary), "words").alias("words"))
+    offered = ordered.withColumn("word", F.explode(F.array_intersect("words", _listed(rare))))
+    q = F.array_position("words", F.col("word"))
+    near = offered.join(prefixes, "word").where((F.size("words") >= F.col("need")) & (1 + F.least(F.col("n") - F.col("p"), F.size("words") - q) >= F.col("need")))
+    counted = near.withColumn("_count", F.size(F.array_intersect("template", "words"))).where(F.col("_count") >= F.col("need"))
+    return counted.groupBy("_tm_row", "label").agg(F.max(F.col("_count") / F.col("n").cast("double")).alias("share"))
+
 
-    return F.coalesce(F.array_max(F.transform(known, share)), F.lit(0.0))
+def _words_of(text: str) -> set[str]:
+    return {w for w in re.split(GAP, re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w}
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: ``n_words``, ``phrases`` (label, places, first, last) and ``matches`` (label, share)."""
     templates = templates or TEMPLATES
-    sets = {label: sorted({w for w in re.split(GAP, text.lower()) if w}) for label, text in templates.items()}
-    vocabulary = sorted({w for ws in sets.values() for w in ws})
-    if len(vocabulary) > MOST_WORDS:
-        raise ValueError(f"templates have over {MOST_WORDS} distinct words")
-    vocabulary = word_order(docs, vocabulary)
-    order = {w: i for i, w in enumerate(vocabulary)}
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", _joined(F.col("text")).alias("_joined"), _known(F.split("text", BLANK, -1), vocabulary).alias("_known"))
+    vocabulary = sorted({w for text in templates.values() for w in _words_of(text)})
+    rows = numbered(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), "_tm_row")
+    known = F.transform(F.split("text", BLANK, -1), lambda b: F.array_intersect(_listed(vocabulary), F.split(_joined(b), " ")))
+    rows = rows.select("_tm_row", "doc_id", _joined(F.col("text")).alias("_joined"), F.filter(known, lambda b: F.size(b) > 0).alias("_known"))
     phrases = []
     for phrase, label in PHRASES.items():
         # words of every script may stand beside a phrase, so its edges are spaces or the ends
@@ -115,15 +125,14 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
         last = _n_words(F.col("_joined")) - _n_words(F.trim(F.get(pieces, F.size(pieces) - 1))) - len(phrase.split())
         place = F.struct(F.lit(label).alias("label"), (F.size(pieces) - 1).cast("long").alias("places"), first.alias("first"), last.alias("last"))
         phrases.append(F.when(F.col("_joined").contains(phrase) & (F.size(pieces) > 1), place))
-    matches = [
-        F.struct(F.lit(label).alias("label"), _containment(F.col("_known"), words, order, threshold).alias("share")) for label, words in sets.items() if words
-    ]
-    return rows.select(
-        "doc_id",
-        _n_words(F.col("_joined")).alias("n_words"),
-        F.filter(F.array(*phrases), lambda p: p.isNotNull()).alias("phrases"),
-        F.filter(F.array(*matches), lambda m: m["share"] > 0).alias("matches"),
-    )
+    found = rows.select("_tm_row", "doc_id", _n_words(F.col("_joined")).alias("n_words"), F.filter(F.array(*phrases), lambda p: p.isNotNull()).alias("phrases"), "_known")
+    found = staged(found, "license-words")
+    matched = containments(found.select("_tm_row", F.explode("_known").alias("words")), templates, threshold)
+    lists = matched.groupBy("_tm_row").agg(F.array_sort(F.collect_list(F.struct("label", "share"))).alias("matches"))
+    none = F.array().cast(lists.schema["matches"].dataType)
+    out = staged(found.drop("_known").join(lists, "_tm_row", "left").select("doc_id", "n_words", "phrases", F.coalesce("matches", none).alias("matches")), "licenses")
+    release(found)
+    return out
 
 
 def license_digest(scanned: DataFrame) -> DataFrame:
