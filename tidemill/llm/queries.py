@@ -15,6 +15,7 @@ from tidemill.llm.line_dedup import dedup_line_runs
 from tidemill.llm.packing import pack_documents
 from tidemill.llm.pii import find_pii, pii_digest
 from tidemill.llm.quality_rules import quality_features
+from tidemill.llm.ranked_search import search
 from tidemill.llm.secret_scan import scan_secrets, secret_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +65,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read(spark, sf_dir, "documents"))
 
 
+def op12_two_level_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -77,8 +82,19 @@ QUERIES: dict[str, Query] = {
         op8_bagminhash_classes,
         op9_best_fit_packing,
         op10_language_id,
+        op12_two_level_search,
     )
 }
 
-#: None of the operators is within reach of SQL on whole tables; tests/llm has brute-force versions of some (see README).
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators aren't within reach of SQL on whole tables; tests/llm has brute-force versions of some (see README).
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+ORACLE_SQL: dict[str, str] = {
+    "op12_two_level_search": f"""WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents), s AS (SELECT count(*) AS rows_, CAST(sum(len(ts)) AS BIGINT) AS total FROM d WHERE len(ts) > 0),
+    i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY 1, 2),
+    p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY 1, 2, 3),
+    w AS (SELECT term, CAST(floor(1000 * ln((2 * rows_ + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), s),
+    c AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * rows_) // total))) AS worth FROM p JOIN w USING (term), s),
+    r AS (SELECT item_id, doc_id, CAST(sum(times * worth) AS BIGINT) AS score FROM i JOIN c USING (term) GROUP BY 1, 2)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0
+    QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""",
+}
