@@ -18,7 +18,7 @@ QUERIES = Queries()
 def one_per_key(changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """Changes with a key, one for each: the last by ``order``, or else the greatest by all columns, which is the same in every run."""
     others = [c for c in changes.columns if c != key]
-    rank = F.struct(*([order] if order else []), *others)
+    rank = F.struct(*([F.col(order).alias("_order")] if order else []), *others)
     last = changes.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(rank).alias("_last"))
     return last.select(*(F.col(key) if c == key else F.col(f"_last.{c}") for c in changes.columns))
 

@@ -8,19 +8,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.plans.declare import Queries
+from tidemill.plans.declare import Queries, written
 
 QUERIES = Queries()
 
 
+def dealt_in_order(df: DataFrame, *order: str) -> DataFrame:
+    """The rows as a written table with ``_range``, the number of the range of ``order`` a row fell into.
+
+    Ranges are dealt once: were they dealt again, by another plan that reads
+    fewer columns, adaptive execution could merge them otherwise. Rows that
+    are equal by ``order`` are told apart by a hash of the others, ``_tie``,
+    so that one frequent key doesn't make a range.
+    """
+    tie = F.xxhash64(*(c for c, kind in df.dtypes if c not in order and "map<" not in kind), F.lit(0))
+    return written(df.withColumn("_tie", tie).repartitionByRange(*order, "_tie").withColumn("_range", F.spark_partition_id()), "dealt")
+
+
 def batches(df: DataFrame, key: str, size: int) -> DataFrame:
     """The rows with ``batch``, their number in order of ``key`` in runs of ``size``, and ``is_last`` for the last row.
 
     Ranks don't come from one window over the table: rows are dealt out by
-    ranges of the key, counted per range, and ranked within.
+    ranges of the key and written, counted per range, and ranked within. Rows
+    with the same key, null included, which comes first, are in one order
+    whatever the partitions; rows equal in all columns are alike.
     """
-    dealt = df.repartitionByRange(F.col(key)).withColumn("_range", F.spark_partition_id())
-    ranks = Window.partitionBy("_range").orderBy(key)
+    dealt = dealt_in_order(df, key)
+    ranks = Window.partitionBy("_range").orderBy(key, "_tie")
     # a row per range, so this window is small whatever the table
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
@@ -88,6 +102,12 @@ def batch_numbering(orders: DataFrame) -> DataFrame:
     return batches(orders.select("o_orderkey"), "o_orderkey", 100)
 
 
+@QUERIES.of("documents", sql="SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS batch, row_number() OVER (ORDER BY doc_id DESC) = 1 AS is_last FROM documents")
+def batch_documents(documents: DataFrame) -> DataFrame:
+    """Whole rows in numbered batches."""
+    return batches(documents, "doc_id", 100)
+
+
 @QUERIES.of(
     "orders",
     sql="""WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, 40 + o_orderkey % 90 AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),

@@ -1,7 +1,8 @@
-"""Declaring a query together with the SQL that gives the same rows."""
+"""Declaring a query together with the SQL that gives the same rows, and the folders that queries write to on the way."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -33,6 +34,22 @@ class Queries(dict[str, Query]):
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or else in the warehouse."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder that driver and executors share, under ``spark.checkpoint.dir``.
+
+    Only a session on one machine may lack the setting. On a cluster a folder
+    of the driver's own would lose what executors write, so it is an error.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))
+        shared = spark.sparkContext.getCheckpointDir()
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table of that folder: what is read of it is the same each time, and a lost executor costs a read."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
