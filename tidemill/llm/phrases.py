@@ -3,12 +3,14 @@
 Passes over the corpus, for phrases of one word more each time:
 
 - A pass counts the phrases of ``k`` words exactly, and at the same time throws
-  those of ``k + 1`` words into ``2 ** bits`` buckets. A task has one array of
-  counts that end at the support, and what tasks have is added up a segment of
-  buckets at a time. Buckets that reach the support are a bitmap.
+  those of ``k + 1`` words into ``2 ** bits`` buckets: each into one of either
+  half, by hashes of their own, so that a rare phrase has to meet frequent ones
+  twice to be taken for one. A task has one array of counts that end at the
+  support, and what tasks have is added up a segment of buckets at a time.
+  Buckets that reach the support are a bitmap.
 - The frequent phrases of ``k`` words are a second bitmap, of the same hash.
 - Both bitmaps are broadcast; ``bits`` bounds their size, whatever the corpus.
-  A phrase of ``k + 1`` words is counted only if its bucket reaches the support
+  A phrase of ``k + 1`` words is counted only if its buckets reach the support
   and both of its parts of ``k`` words are in the other bitmap. Hashes that
   meet cost time and change nothing, since counts are of the phrases themselves.
 
@@ -147,6 +149,12 @@ def cut(data: bytes) -> Iterator[tuple[bytes, int]]:
     yield kept + data[start:], skip
 
 
+def places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each phrase in the lower half and in the upper half."""
+    down = np.uint64(65 - bits)
+    return (hashes >> down).astype(np.int64), (mix(hashes ^ _BASE) >> down).astype(np.int64) + (1 << bits - 1)
+
+
 class Buckets:
     """How many phrases fell into each bucket, up to ``support``."""
 
@@ -154,12 +162,10 @@ class Buckets:
         self.bits, self.support = bits, support
         self.counts = np.zeros(1 << bits, np.min_scalar_type(support))
 
-    def places(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-
     def add(self, hashes: np.ndarray, n: int = 1) -> None:
-        at, times = np.unique(self.places(hashes), return_counts=True)
-        self.counts[at] = np.minimum(self.counts[at].astype(np.int64) + n * times, self.support)
+        for half in places(hashes, self.bits):
+            at, times = np.unique(half, return_counts=True)
+            self.counts[at] = np.minimum(self.counts[at].astype(np.int64) + n * times, self.support)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         each = self.counts.reshape(-1, min(SEGMENT, len(self.counts)))
@@ -199,8 +205,9 @@ def bitmap(rows: DataFrame, bits: int, support: int) -> np.ndarray:
 
 
 def _set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = (hashes >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)).astype(np.int64)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    """Whether both buckets of a phrase are in the bitmap."""
+    one, two = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 for at in places(hashes, (len(bits) * 8).bit_length() - 1))
+    return (one & two) > 0
 
 
 def first_pass(texts: DataFrame, bits: int, support: int) -> DataFrame:
