@@ -47,7 +47,7 @@ THRESHOLD = 0.95
 BLOCK = 16
 #: Vectors of a block's cell that its quantiles aim at, and rows that are compared with as many at once.
 CELL_ROWS = 8192
-CHUNK = 4096
+CHUNK = 16_384
 #: Rows that the index is fitted to, and what a core holds at least (of all rows, and of those).
 SAMPLE = 4096
 CORE_ROWS = 512
@@ -202,8 +202,10 @@ def work(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     once = ~F.col("_home") | (F.struct("core", "chunk") <= F.struct("_core", "_chunk"))
     pairs = chunks.where("home").join(other, _CELL).where(once & ((F.col("core") < 0) | (F.col("core") != F.col("_core"))))
     pairs = staged(numbered(pairs, "pair"), "chunk-pairs")
+    # a chunk with itself comes once
+    itself = F.col("_home") & (F.struct("core", "chunk") == F.struct("_core", "_chunk"))
     sides = pairs.select(*_CELL, "home", "core", "chunk", "pair", F.lit(0).alias("side")).unionByName(
-        pairs.select(*_CELL, *(F.col(f"_{c}").alias(c) for c in ("home", "core", "chunk")), "pair", F.lit(1).alias("side"))
+        pairs.where(~itself).select(*_CELL, *(F.col(f"_{c}").alias(c) for c in ("home", "core", "chunk")), "pair", F.lit(1).alias("side"))
     )
     return sizes, sides
 
@@ -224,9 +226,9 @@ def compared(rows: DataFrame, shared, kind: str, threshold: float) -> DataFrame:
         unit = units(table.column("raw").to_pylist(), kind)
         place, rep, core, copies = rotated(unit), *(table.column(c).to_numpy() for c in ("rep", "core", "copies"))
         node = np.where(core >= 0, -1 - core, rep)
-        # a chunk with itself comes as two sides of the same rows
         first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        itself = len(first) == len(second) and set(rep[first]) == set(rep[second])
+        itself = not len(second)
+        second = first if itself else second
         links, label = np.zeros(len(rep), np.int64), node.copy()
         joined = []
         for lo in range(0, len(first), 1024):
