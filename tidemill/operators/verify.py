@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, FloatType, StringType, TimestampNTZType, TimestampType
 
@@ -36,12 +36,15 @@ def compare(source: DataFrame, target: DataFrame, key: str | list[str], columns:
     """The key columns, ``state`` (missing, extra, different, equal) and ``fields``, the columns that differ.
 
     Every row of either side is compared; keys are matched null-safe, so a
-    null key is a row like any other.
+    null key is a row like any other. Rows that repeat a key are compared by
+    occurrence, in order of their columns: two with two, and a third is
+    missing or extra.
     """
     keys, columns = [key] if isinstance(key, str) else list(key), [columns] if isinstance(columns, str) else list(columns)
-    s = source.select(*keys, *(F.col(c).alias(f"_s_{c}") for c in columns), F.lit(1).alias("_in_s"))
-    t = target.select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(F.col(c).alias(f"_t_{c}") for c in columns), F.lit(1).alias("_in_t"))
-    met = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*(columns or [F.lit(1)])))
+    s = source.select(*keys, *columns, nth.alias("_n")).select(*keys, "_n", *(F.col(c).alias(f"_s_{c}") for c in columns), F.lit(1).alias("_in_s"))
+    t = target.select(*keys, *columns, nth.alias("_n")).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_n").alias("_nth"), *(F.col(c).alias(f"_t_{c}") for c in columns), F.lit(1).alias("_in_t"))
+    met = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys), F.col("_n") == F.col("_nth"))
     unlike = F.array_compact(F.array(*(F.when(~same(F.col(f"_s_{c}"), F.col(f"_t_{c}"), source.schema[c].dataType, strict), F.lit(c)) for c in columns)))
     here = F.col("_in_s").isNotNull() & F.col("_in_t").isNotNull()
     state = F.when(F.col("_in_t").isNull(), "missing").when(F.col("_in_s").isNull(), "extra").when(F.size(unlike) == 0, "equal").otherwise("different")
@@ -68,7 +71,7 @@ def verified(source: DataFrame, target: DataFrame, key: str, columns: list[str],
     columns = [c for c in columns if c not in set(skip)]
     if sample is not None:
         source = source.orderBy(key).limit(sample)
-        target = target.join(source.select(F.col(key).alias("_key")), F.col(key) == F.col("_key"), "left_semi")
+        target = target.join(source.select(F.col(key).alias("_key")), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
     return compare(source, target, key, columns)
 
 
