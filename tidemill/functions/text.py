@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions.fuzzy import similarity
 from tidemill.plans.declare import Queries
 
 QUERIES = Queries()
@@ -18,12 +19,6 @@ def sanitized(c: Column) -> Column:
     return F.regexp_replace(c, "[^a-zA-Z0-9_]", "_")
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 - distance / longer length, without regard to case; 1 for two empty texts."""
-    longer = F.greatest(F.length(a), F.length(b))
-    return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(F.lower(a), F.lower(b)) / longer)
-
-
 def camel_column(c: Column) -> Column:
     """``order_key`` -> ``orderKey`` for names that are data; underscores in front stay."""
     lead = F.regexp_extract(c, "^_*", 0)
@@ -49,19 +44,6 @@ def matches(df: DataFrame, column: str, probe: str, threshold: float = 0.6, most
     return top.withColumn("_exact", exact).where(~F.col("_exact") | same).drop("_exact")
 
 
-def joined_matches(df: DataFrame, column: str, names: DataFrame, name: str, threshold: float = 0.6) -> DataFrame:
-    """The best of ``names`` for each distinct value: equal ones by an equi-join, the others against those of similar length."""
-    values = df.select(F.col(column).alias("value")).where(F.col(column).isNotNull()).distinct()
-    known = names.select(F.col(name).alias("name")).distinct()
-    exact = values.join(known, F.lower("value") == F.lower("name")).select("value", "name", F.lit(1.0).alias("score"))
-    # a score of t needs lengths in a ratio of t at least
-    sizes = F.sequence(F.ceil(F.length("value") * threshold).cast("int"), F.floor(F.length("value") / threshold).cast("int"))
-    left = values.join(exact.select(F.col("value").alias("_done")), F.col("value") == F.col("_done"), "left_anti").withColumn("_size", F.explode(sizes))
-    scored = left.join(known.withColumn("_size", F.length("name")), "_size").withColumn("score", similarity(F.col("value"), F.col("name"))).where(F.col("score") >= threshold)
-    best = scored.groupBy("value").agg(F.max_by("name", F.struct("score", F.col("name"))).alias("name"), F.max("score").alias("score"))
-    return exact.unionByName(best)
-
-
 def did_you_mean(df: DataFrame, column: str, probe: str) -> str:
     """A message with up to three suggestions."""
     found = [r[column] for r in matches(df, column, probe, 0.5, 3).collect()]  # three at most
@@ -124,19 +106,6 @@ def fuzzy_best(nation: DataFrame) -> DataFrame:
     return matches(nation, "n_name", "NATON_1", most=1).withColumn("score", F.round("score", 6))
 
 
-@QUERIES.of(
-    "part", "nation",
-    sql="""WITH v AS (SELECT DISTINCT substr(p_name, 1, 6) || 'x' AS value FROM part), k AS (SELECT DISTINCT substr(p_name, 1, 6) AS name FROM part UNION SELECT n_name FROM nation),
-    s AS (SELECT value, name, 1 - levenshtein(lower(value), lower(name)) / greatest(length(value), length(name)) AS score FROM v CROSS JOIN k)
-    SELECT DISTINCT ON (value) value, name, round(score, 6) AS score FROM s WHERE score >= 0.6 ORDER BY value, score DESC, name DESC""",
-)
-def fuzzy_join(part: DataFrame, nation: DataFrame) -> DataFrame:
-    """Each value with the known name that is most like it."""
-    known = part.select(F.substring("p_name", 1, 6).alias("name")).union(nation.select("n_name"))
-    found = joined_matches(part.select(F.concat(F.substring("p_name", 1, 6), F.lit("x")).alias("v")), "v", known, "name")
-    return found.withColumn("score", F.round("score", 6))
-
-
 @QUERIES.of("region", sql="SELECT r_regionkey, 'orderKey' || r_regionkey || 'Ab' AS camel, 'order_key' || r_regionkey || '_ab' AS snake FROM region")
 def str_camel_snake(region: DataFrame) -> DataFrame:
     name = F.concat(F.lit("order_KEY"), F.col("r_regionkey").cast("string"), F.lit("_AB"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from tidemill.functions import converters, text
-from tidemill.operators import advice, checks, checksums, docstore, graph, keys, masking, projection, scans, summaries, verify
+from tidemill.functions import converters, fuzzy, text
+from tidemill.operators import advice, checks, checksums, docstore, graph, keys, masking, projection, scans, summaries, textindex, verify
 from tidemill.plans.declare import Query
 from tidemill.sources import connections, ledger, sinks
 from tidemill.streaming import changes, incremental
 
 FLAGSHIP = "project_document_orders"
-MODULES = (scans, keys, converters, text, summaries, masking, checks, docstore, verify, checksums, graph, projection, advice, connections, sinks, ledger, incremental, changes)
+MODULES = (scans, keys, converters, text, fuzzy, textindex, summaries, masking, checks, docstore, verify, checksums, graph, projection, advice, connections, sinks, ledger, incremental, changes)
 
 QUERIES: dict[str, Query] = {name: run for module in MODULES for name, run in module.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for module in MODULES for name, sql in module.QUERIES.sql.items()}
