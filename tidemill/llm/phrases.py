@@ -16,6 +16,7 @@ Passes over the corpus, for phrases of one word more each time:
 
 Behind the first pass the corpus is trimmed to the runs of words that may be
 in a phrase of two, which is a small part of it; later passes read that alone.
+It is dealt by language, large languages to many tasks.
 
 Parts of a frequent phrase are frequent, so the scores are joins of the
 frequent phrases with themselves. A phrase goes if a longer one is as frequent:
@@ -323,7 +324,8 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, most_words: int =
     runs, found, sizes = texts, [], None
     for k in range(1, most_words + 1):
         if k == 2:
-            runs = staged(trimmed(texts, parts[1], buckets[2]), "trimmed")
+            # languages apart, as far as their sizes allow: a phrase is then in the counts of few tasks
+            runs = staged(trimmed(texts, parts[1], buckets[2]).hint("rebalance", "lang"), "trimmed")
         counted = first_pass(texts, bits, support) if k == 1 else later_pass(runs, k, parts, buckets, bits, support, k == most_words)
         counted = staged(counted, f"counts-{k}")
         phrases = counted.where("segment IS NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
