@@ -15,7 +15,7 @@ from tidemill.plans.declare import Queries
 
 QUERIES = Queries()
 
-#: Limits of a document store: fixed values.
+#: Limits of a document store, and names that say what a table or column is for: fixed values.
 MOST_FIELDS, MOST_INDEXES, MOST_BYTES, MOST_NAME = 1024, 32, 1 << 20, 64
 JUNCTION_NAMES = ("_to_", "_has_", "_x_", "_join", "_link", "_rel", "_map", "_assoc")
 CREATED, EXPIRY, DELETED, STATUS = ("created_at", "createdat", "creation_date", "date_created"), ("expires_at", "expiry", "expired_at", "expiration", "valid_until"), ("deleted_at", "deletedat", "is_deleted", "archived_at"), ("status", "state", "job_status")
@@ -187,61 +187,10 @@ SHOP = Catalog.of((
 ))
 
 
-def _rows(name: str, schema: str, rows, oracle: str) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.createDataFrame(list(rows()), schema)
-
-    QUERIES[name] = run
-    QUERIES.sql[name] = oracle
-
-
 def _values(names: str, *rows: tuple) -> str:
     return f"SELECT * FROM (VALUES {', '.join(str(r) if len(r) > 1 else f'({r[0]!r})' for r in rows)}) AS v({names})"
 
 
-_rows(
-    "relationship_cardinality", "table_name string, column_name string, other string, cardinality string", lambda: relationships(SHOP),
-    _values("table_name, column_name, other, cardinality", ("order_items", "order_id", "orders", "many-to-one"), ("order_items", "product_id", "products", "many-to-one"), ("orders", "user_id", "users", "many-to-one"),
-            ("orders", "order_items", "products", "many-to-many"), ("profiles", "user_id", "users", "one-to-one"), ("users", "manager_id", "users", "many-to-one")),
-)
-_rows(
-    "index_suggestions", "table_name string, index_name string, columns string, priority string, why string", lambda: ((t.name, *s) for t in SHOP.tables.values() for s in index_suggestions(t)),
-    _values("table_name, index_name, columns, priority, why", ("users", "usersEmailKey", "email", "high", "single column"), ("users", "idxUsersManagerId", "manager_id", "high", "foreign key"), ("users", "idxUsersCreatedAt", "created_at", "medium", "time"),
-            ("products", "productsLowTitle", "", "low", "expression"), ("products", "productsLive", "price", "medium", "partial, without its condition"), ("products", "idxProductsKindType", "kind_type", "medium", "ordered labels"),
-            ("orders", "idxOrdersUserId", "user_id", "high", "foreign key"), ("order_items", "idxOrderItemsOrderId", "order_id", "high", "foreign key"), ("order_items", "idxOrderItemsProductId", "product_id", "high", "foreign key"),
-            ("profiles", "idxProfilesUserId", "user_id", "high", "foreign key")),
-)
-_rows(
-    "edge_cases", "table_name string, severity string, column_name string, message string", lambda: ((t.name, *e) for t in SHOP.tables.values() for e in edge_cases(t)),
-    _values("table_name, severity, column_name, message", ("users", "info", "manager_id", "refers to its own table"), ("products", "warning", "", "index products_low_title is on an expression"),
-            ("products", "warning", "price", "over 15 digits lose some as doubles"), ("products", "info", "photo", "bytes become base64 text"), ("products", "warning", "", "CHECK isn't enforced: can't read: ~ \\'^a\\')"),
-            ("orders", "info", "total", "whole numbers beyond 2^53 lose digits as doubles"), ("order_items", "info", "", "composite primary key (order_id, product_id)")),
-)
-QUERIES.sql["edge_cases"] = QUERIES.sql["edge_cases"].replace('"CHECK isn\'t enforced: can\'t read: ~ \\\\\'^a\\\\\')"', "'CHECK isn''t enforced: can''t read: ~ ''^a'')'")
-_rows("vector_fields", "table_name string, column_name string, dimensions int", lambda: ((t.name, *v) for t in SHOP.tables.values() for v in vector_fields(t)), _values("table_name, column_name, dimensions", ("products", "embedding", 384)))
-_rows(
-    "cleanup_columns", "table_name string, role string, column_name string", lambda: ((t.name, r, c) for t in SHOP.tables.values() for r, c in cleanup_columns(t).items()),
-    _values("table_name, role, column_name", ("users", "created", "created_at"), ("orders", "deleted", "deleted_at"), ("orders", "status", "status")),
-)
-
-
-def inbound_fk_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inbound(spark, DRIVER, 2)
-
-
-QUERIES["inbound_fk_count"] = inbound_fk_count
-QUERIES.sql["inbound_fk_count"] = _values("parent, n", ("nation", 2))
-
-
-def warnings_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(t.name, e[0]) for t in SHOP.tables.values() for e in edge_cases(t)], "table_name string, severity string")
-    return rows.groupBy("table_name").agg(F.count_if(F.col("severity") == "warning").alias("n_warnings"), F.count_if(F.col("severity") == "info").alias("n_infos"))
-
-
-QUERIES["warnings_by_severity"] = warnings_by_severity
-QUERIES.sql["warnings_by_severity"] = _values("table_name, n_warnings, n_infos", ("users", 0, 1), ("products", 3, 1), ("orders", 0, 1), ("order_items", 0, 1))
-
-
 @QUERIES.of(
     "orders", "customer",
     sql="""SELECT table_name, n_rows, ceil(n_rows / 100.0)::BIGINT AS batches, s * 1.2 AS best_s, s * 1.5 AS likely_s, s * 2.0 AS worst_s, n_rows * 500 AS n_bytes FROM
@@ -275,27 +224,3 @@ QUERIES.sql["catalog_columns"] = _values(
         "nation": (("n_nationkey", "int", None), ("n_name", "string", None), ("n_regionkey", "int", "region")),
     }.items() for i, (c, k, p) in enumerate(cols, 1)),
 ).replace("'PARENT'", "NULL")
-
-
-def cross_schema_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Foreign keys that lead from one schema to another, and the names that such tables get."""
-    some = Catalog({
-        "a": Table("a", schema="sales", foreign_keys=(ForeignKey("b_id", "b", "id", schema="public"), ForeignKey("c_id", "c", "id", schema="sales"))),
-        "b": Table("b"), "c": Table("c", schema="sales"), "d": Table("d", foreign_keys=(ForeignKey("c_id", "c", "id", schema="sales"),)),
-    })
-    keys = frames(spark, some.with_schemas())["foreign_keys"]
-    return keys.where("schema <> parent_schema").select("child", "column_name", "parent")
-
-
-QUERIES["cross_schema_keys"] = cross_schema_keys
-QUERIES.sql["cross_schema_keys"] = _values("child, column_name, parent", ("sales_a", "b_id", "b"), ("d", "c_id", "sales_c"))
-
-
-def index_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of each index in order, from a row per column."""
-    rows = frames(spark, SHOP)["indexes"].groupBy("table_name", "index_name").agg(F.array_sort(F.collect_list(F.struct("position", "column_name"))).alias("_c"), F.bool_and("is_unique").alias("is_unique"))
-    return rows.select("table_name", "index_name", "is_unique", F.array_join("_c.column_name", ",").alias("columns"))
-
-
-QUERIES["index_columns"] = index_columns
-QUERIES.sql["index_columns"] = _values("table_name, index_name, is_unique, columns", ("users", "users_email_key", True, "email"), ("products", "products_low_title", False, "title"), ("products", "products_live", False, "price"))
