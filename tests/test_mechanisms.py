@@ -1,18 +1,24 @@
 """Batches, the run ledger, change events, checksums, fuzzy joins and the text index on cases that the driver's tables lack."""
 
+import json
 import math
 import random
 import re
+import sqlite3
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemill.functions import fuzzy
 from tidemill.operators import checksums, summaries, textindex, verify
 from tidemill.plans import declare
 from tidemill.plans.files import Folder
+from tidemill.sources import connections
 from tidemill.sources.ledger import Ledger
+from tidemill.sources.sqlite import SqliteReader, SqliteSource
 from tidemill.streaming import changes, incremental
 
 WIDE = "id long, part string, text string"
@@ -84,7 +90,7 @@ def test_ledger(spark, tmp_path):
 def test_ledger_race(spark, tmp_path):
     """Another writer's manifest between reading and writing is kept."""
     ledger, other = Ledger(spark, str(tmp_path)), Ledger(spark, str(tmp_path))
-    entry = lambda run: {"run": run, "table_name": "t", "path": f"t/{run}", "n_rows": 1, "first_key": "1", "last_key": "1", "status": "done"}
+    entry = lambda run: {"run": run, "table_name": "t", "path": f"t/{run}", "n_rows": 1, "first_key": "1", "last_key": "1", "batch": None}
     raced = []
 
     def edit(entries):
@@ -224,3 +230,60 @@ def test_text_index(spark, tmp_path):
     buckets = {r[0] for r in spark.createDataFrame([("cat",), ("dog",)], "t string").select(textindex.bucket_of(F.col("t"))).collect()}
     read = textindex.postings(spark, str(tmp_path), ["cat", "dog"])
     assert {int(f.split("bucket=")[1].split("/")[0]) for f in read.select(F.input_file_name()).distinct().toPandas().iloc[:, 0]} == buckets
+
+
+@pytest.fixture
+def shop(tmp_path):
+    path = str(tmp_path / "shop's.db")
+    db = sqlite3.connect(path)
+    db.executescript("""CREATE TABLE users (id INTEGER PRIMARY KEY, name TEXT NOT NULL, "odd ""name" REAL, photo BLOB, UNIQUE (name));
+        CREATE TABLE orders (user_id INT REFERENCES users(id), n INT, total DOUBLE, note VARCHAR(20), PRIMARY KEY (user_id, n)); CREATE TABLE bare (k INT, v TEXT);
+        CREATE VIEW some AS SELECT id FROM users;""")
+    db.executemany("INSERT INTO users VALUES (?, ?, ?, ?)", [(i, f"user {i}", None if i % 3 else i / 2, bytes([i % 256])) for i in range(1000)])
+    db.executemany("INSERT INTO bare VALUES (?, ?)", [(None if i % 5 == 0 else i % 7, f"v{i}") for i in range(200)])
+    db.commit()
+    db.close()
+    return path
+
+
+def test_sqlite_catalog(spark, shop):
+    source = connections.source("sqlite", spark, shop)
+    assert source.tables() == ["bare", "orders", "some", "users"]
+    users, orders = source.catalog.tables["users"], source.catalog.tables["orders"]
+    assert [(c.name, c.type, c.nullable) for c in users.columns] == [("id", "bigint", False), ("name", "string", False), ('odd "name', "double", True), ("photo", "binary", True)]
+    assert users.primary_key == ("id",) and orders.primary_key == ("user_id", "n") and [(k.column, k.parent, k.parent_column) for k in orders.foreign_keys] == [("user_id", "users", "id")]
+    assert [(i.columns, i.unique) for i in users.indexes] == [(("name",), True)] and source.catalog.tables["some"].view
+
+
+def test_sqlite_ranges_and_filters(spark, shop):
+    source = SqliteSource(spark, shop)
+    users = source.read("users", ranges=8)
+    assert users.rdd.getNumPartitions() == 8 and users.count() == 1000
+    sizes = [r[0] for r in users.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert max(sizes) <= 126
+    found = users.where((F.col("id") >= 10) & (F.col("id") < 500) & F.col("odd \"name").isNotNull() & F.col("name").isin("user 12", "user 15", "user 16", "user 600") & (F.col("photo") != b"x"))
+    assert sorted((r["id"], r[2], bytes(r["photo"])) for r in found.collect()) == [(12, 6.0, b"\x0c"), (15, 7.5, b"\x0f")]
+    bare = source.read("bare", key="k", ranges=4)
+    assert bare.count() == 200 and bare.where("k IS NULL").count() == 40 and bare.where("NOT (k = 3)").count() == sum(1 for i in range(200) if i % 5 and i % 7 != 3)
+    assert source.read("orders").collect() == []
+    with pytest.raises(ValueError):
+        SqliteSource(spark, "hdfs://host/x.db")
+
+
+def test_sqlite_filters_reach_the_reader(shop):
+    schema = StructType.fromDDL("id bigint, name string, photo binary")
+    reader = SqliteReader(schema, {"table": "users", "key": "id", "paths": json.dumps([shop]), "ranges": "3"})
+    asked = [ds.GreaterThan(("id",), 990), ds.EqualTo(("photo",), b"x"), ds.StringContains(("name",), "9"), ds.Not(ds.EqualTo(("name",), "user 995")), ds.EqualTo(("id",), "text")]
+    assert list(reader.pushFilters(asked)) == [asked[1], asked[2], asked[4]]
+    rows = [i for p in reader.partitions() for b in reader.read(p) for i in b.column("id").to_pylist()]
+    assert rows == [991, 992, 993, 994, 996, 997, 998, 999]
+
+
+def test_batches_are_sent_once(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path))
+    for _ in range(2):
+        assert ledger.write("a", "t", spark.range(5), "id", batch="1") == 5
+    ledger.write("a", "t", spark.range(5, 8), "id", batch="2")
+    assert ids(ledger.read("t", spark.range(1).schema)) == [(i, "a") for i in range(8)]
+    ledger.write("b", "t", spark.range(2), "id", replace=True)
+    assert ids(ledger.read("t", spark.range(1).schema)) == [(0, "b"), (1, "b")]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemill.catalog import DRIVER, Catalog
 from tidemill.plans.declare import Queries
+from tidemill.sources.sqlite import SqliteSource
 
 QUERIES = Queries()
 
@@ -146,7 +147,7 @@ class JdbcSource:
         return self.spark.read.format("jdbc").options(**self.connection.jdbc()).option("query", sql).load()
 
 
-_SOURCES: dict[str, Callable[..., Source]] = {"parquet": ParquetSource} | dict.fromkeys(PORTS | {"sqlite": 0}, JdbcSource)
+_SOURCES: dict[str, Callable[..., Source]] = {"parquet": ParquetSource, "sqlite": SqliteSource} | dict.fromkeys(PORTS, JdbcSource)
 
 
 def register_source(kind: str, make: Callable[..., Source]) -> None:

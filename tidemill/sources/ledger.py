@@ -25,7 +25,7 @@ from tidemill.plans.declare import Queries, scratch
 from tidemill.plans.files import Folder
 
 QUERIES = Queries()
-ENTRY = "run string, table_name string, path string, n_rows long, first_key string, last_key string, status string"
+ENTRY = "run string, table_name string, path string, n_rows long, first_key string, last_key string, batch string"
 RACES = 50
 
 
@@ -55,14 +55,23 @@ class Ledger:
                 return
         raise RuntimeError("the manifest changes faster than it can be written")
 
-    def write(self, run: str, table: str, rows: DataFrame, key: str, status: str = "done") -> int:
-        """Write one batch and make it count; how many rows it has."""
+    def write(self, run: str, table: str, rows: DataFrame, key: str, batch: str | None = None, replace: bool = False) -> int:
+        """Write one batch and make it count; how many rows it has.
+
+        A batch with an id that counts already isn't written again, so a sender
+        may repeat it. With ``replace`` it takes the place of all that the table
+        had, in the same step.
+        """
+        sent = lambda entries: next((e["n_rows"] for e in entries if batch is not None and (e["table_name"], e["batch"]) == (table, batch)), None)
+        if (n := sent(self.entries())) is not None:
+            return n
         path = f"{table}/{run}-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.root}/{path}")
         found = self.spark.read.schema(rows.schema).parquet(f"{self.root}/{path}")
         n, first, last = found.agg(F.count("*"), F.min(key).cast("string"), F.max(key).cast("string")).first()
-        entry = {"run": run, "table_name": table, "path": path, "n_rows": n, "first_key": first, "last_key": last, "status": status}
-        self.change(lambda entries: [*entries, entry])
+        entry = {"run": run, "table_name": table, "path": path, "n_rows": n, "first_key": first, "last_key": last, "batch": batch}
+        others = lambda entries: [e for e in entries if not replace or e["table_name"] != table]
+        self.change(lambda entries: entries if sent(entries) is not None else [*others(entries), entry])
         return n
 
     def read(self, table: str, schema: StructType) -> DataFrame:
@@ -159,3 +168,23 @@ def ledger_report(customer: DataFrame, orders: DataFrame) -> DataFrame:
     ledger = _halted(customer, orders)
     ledger.resume("run-2", [("customer", customer, "c_custkey"), ("orders", orders, "o_orderkey")])
     return ledger.report()
+
+
+@QUERIES.of("orders", sql="SELECT o_orderkey, o_custkey, o_totalprice, 'run-2' AS run FROM orders WHERE o_orderkey % 4 = 3 UNION ALL SELECT o_orderkey, o_custkey, o_totalprice, 'run-3' FROM orders WHERE o_orderkey % 4 = 1")
+def sink_transactions(orders: DataFrame) -> DataFrame:
+    """A table after a truncation, a batch that was sent twice, one that failed half way, and a replacement followed by another batch."""
+    orders = orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    ledger = Ledger(orders.sparkSession, scratch(orders.sparkSession, "ledger"))
+    ledger.write("run-1", "orders", orders, "o_orderkey")
+    ledger.truncate("orders")
+    for _ in range(2):
+        ledger.write("run-1", "orders", orders.where("o_orderkey % 4 = 2"), "o_orderkey", batch="7")
+    ledger.write("run-2", "orders", orders.where("o_orderkey % 4 = 3"), "o_orderkey", replace=True)
+    broken = orders.where("o_orderkey % 4 = 0").withColumn("o_custkey", F.when(F.col("o_orderkey") % 32 == 0, F.raise_error(F.lit("broken row"))).otherwise(F.col("o_custkey")).cast("long"))
+    try:
+        ledger.write("run-2", "orders", broken, "o_orderkey")
+    except Exception as error:
+        if "broken row" not in str(error):
+            raise
+    ledger.write("run-3", "orders", orders.where("o_orderkey % 4 = 1"), "o_orderkey", batch="8")
+    return ledger.read("orders", orders.schema)
