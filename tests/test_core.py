@@ -24,6 +24,8 @@ def test_converters(spark):
     assert column(spark, ["[1,5)", "(,7]", '["a","b")', "empty", None], converters.range_) == [("1", "5", "[)"), (None, "7", "(]"), ("a", "b", "[)"), None, None]
     assert column(spark, ["1e3", "NaN", "-Infinity", "x", None], converters.finite) == [1000.0, None, None, None, None]
     assert column(spark, ['"a"=>"1", "b"=>NULL', "", None], converters.hstore) == [{"a": "1", "b": None}, {}, None]
+    assert column(spark, ['a=>1, "a"=>"2", "q\\"x"=>"b, \\\\c=>d"', 'k=>null,"n"=>"NULL"'], converters.hstore) == [{"a": "1", 'q"x': "b, \\c=>d"}, {"k": None, "n": "NULL"}]
+    assert column(spark, ["(1.5,-2)", " ( 1e3 , .5 )", "garbage", None, "(1,)", "(1,2,3)"], converters.point) == [(1.5, -2.0), (1000.0, 0.5), None, None, None, None]
     assert column(spark, ["$1,234.50", "-$2", "x", ""], converters.money) == [1234.5, -2.0, None, None]
     with pytest.raises(ValueError):
         converters.unknown("v", "other")
@@ -174,3 +176,10 @@ def test_batches_and_chunks(spark):
     assert got == {k: (k // 100, k == 1002) for k in range(1003)} and summaries.batches(df.where("false"), "k", 10).count() == 0
     rows = spark.createDataFrame([("g", i, n) for i, n in enumerate([50, 60, 500, 10, 20, 80])] + [("h", 0, 10)], "g string, k int, n int")
     assert [(r["g"], r["k"], r["chunk"]) for r in sorted(summaries.byte_chunks(rows, "g", "k", "n", 100).collect())] == [("g", 0, 0), ("g", 1, 1), ("g", 2, 2), ("g", 3, 3), ("g", 4, 3), ("g", 5, 4), ("h", 0, 0)]
+
+
+def test_ids_and_names_that_run_together(spark):
+    df = spark.createDataFrame([("x|=y", "z"), ("x", "y|=z"), ("x", None), ("x", ""), ("1:a", "")], "a_b string, a__b string")
+    assert df.select(projection.row_id("t", ["a_b", "a__b"])).distinct().count() == 5
+    made = projection.Projection(catalog.Table("t")).documents(df)
+    assert made.columns == ["_id", "aB", "aB2", "_errors"] and made.count() == 5

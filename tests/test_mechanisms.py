@@ -12,10 +12,13 @@ from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemill.catalog import Catalog, Column, ForeignKey, Table
 from tidemill.functions import fuzzy
 from tidemill.operators import checksums, summaries, textindex, verify
 from tidemill.plans import declare
+from tidemill.operators.projection import Projection
 from tidemill.plans.files import Folder
+from tidemill.plans.migration import Migration
 from tidemill.sources import connections
 from tidemill.sources.ledger import Ledger
 from tidemill.sources.sqlite import SqliteReader, SqliteSource
@@ -287,3 +290,24 @@ def test_batches_are_sent_once(spark, tmp_path):
     assert ids(ledger.read("t", spark.range(1).schema)) == [(i, "a") for i in range(8)]
     ledger.write("b", "t", spark.range(2), "id", replace=True)
     assert ids(ledger.read("t", spark.range(1).schema)) == [(0, "b"), (1, "b")]
+
+
+def test_migration_stops_and_goes_on(spark, tmp_path):
+    users = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    notes = spark.createDataFrame([(10, 1, "$5"), (11, 9, "$6"), (12, None, "$7"), (13, 2, "what")], "id int, user_id int, price string")
+    linked = Table("notes", (Column("user_id", "int", nullable=False),), ("id",), (ForeignKey("user_id", "users", "id"),))
+    shop = Catalog.of((Table("users", primary_key=("id",)), linked))
+    new = lambda: Migration(spark, {"notes": notes, "users": users}, shop, str(tmp_path), {"notes": Projection(linked, types={"price": "money"})}, parts=2)
+    migration = new()
+    assert migration.order() == [("users", 0), ("notes", 1)] and {r["table_name"] for r in migration.dry_run().collect()} == {"users", "notes"}
+    migration.run("one", ["users"])
+    before = migration.ledger.entries()
+    new().run("two")
+    new().run("three")  # nothing is left
+    assert [e["run"] for e in new().ledger.entries()] == ["one"] * 3 + ["two"] * 3 and new().ledger.entries()[:3] == before
+    assert [r["price"] for r in new().target("notes").collect()] == [5.0]
+    assert sorted(tuple(r["_errors"]) for r in new().rejected("notes").collect()) == [("price",), ("userId",), ("userId",)]
+    found = {r["table_name"]: r for r in new().report().collect()}
+    assert (found["notes"]["n_source"], found["notes"]["n_rejected"], found["notes"]["n_equal"], found["notes"]["matches"]) == (4, 3, 1, True)
+    new().ledger.rollback("two")
+    assert not {r["table_name"]: r["matches"] for r in new().report().collect()}["notes"] and new().target("users").count() == 2

@@ -74,11 +74,14 @@ def loses_digits(c: str | Column) -> Column:
 
 
 def hstore(c: str | Column) -> Column:
-    """``"a"=>"1", "b"=>NULL`` as a map."""
-    pairs = F.regexp_extract_all(_col(c), F.lit(r'"[^"]*"\s*=>\s*(?:"[^"]*"|NULL)'), F.lit(0))
-    quoted = lambda e, i: F.regexp_extract(e, r'^"([^"]*)"\s*=>\s*(?:"([^"]*)"|NULL)$', i)
-    entry = lambda e: F.struct(quoted(e, 1).alias("key"), F.when(~e.endswith("NULL"), quoted(e, 2)).alias("value"))
-    return F.map_from_entries(F.transform(pairs, entry))
+    """``"a"=>"1", b=>NULL`` as a map. A backslash keeps what follows it; of a repeated key the first counts."""
+    word = r'(?:"(?:[^"\\]|\\.)*"|[^\s,"=>\\]+)'
+    pairs = F.regexp_extract_all(_col(c), F.lit(rf"{word}\s*=>\s*{word}"), F.lit(0))
+    part = lambda e, i: F.regexp_extract(e, rf"^({word})\s*=>\s*({word})$", i)
+    plain = lambda w: F.regexp_replace(F.when(w.startswith('"'), F.substr(w, F.lit(2), F.length(w) - 2)).otherwise(w), r"\\(.)", "$1")
+    entries = F.transform(pairs, lambda e: F.struct(plain(part(e, 1)).alias("key"), F.when(F.upper(part(e, 2)) != "NULL", plain(part(e, 2))).alias("value")))
+    keys = F.transform(entries, lambda e: e["key"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
 
 
 def unknown(c: str | Column, policy: str = "text") -> Column | None:
@@ -94,9 +97,10 @@ def unknown(c: str | Column, policy: str = "text") -> Column | None:
 
 
 def point(c: str | Column) -> Column:
-    number = r"(-?[0-9.]+)"
-    part = [F.coalesce(F.regexp_extract(_col(c), rf"\({number},\s*{number}\)", i).try_cast("double"), F.lit(0.0)) for i in (1, 2)]
-    return F.struct(part[0].alias("x"), part[1].alias("y"))
+    """``(1.5,-2e3)`` as x and y; null where the text is no point, so that it counts as a failed conversion."""
+    number = r"([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)"
+    part = [F.regexp_extract(_col(c), rf"^\s*\(\s*{number}\s*,\s*{number}\s*\)\s*$", i).try_cast("double") for i in (1, 2)]
+    return F.when(part[0].isNotNull() & part[1].isNotNull(), F.struct(part[0].alias("x"), part[1].alias("y")))
 
 
 def bytea(c: str | Column) -> Column:

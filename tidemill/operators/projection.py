@@ -49,7 +49,15 @@ class Projection:
         key = set(self.table.primary_key) if len(self.table.primary_key) == 1 else {c for c in self.table.primary_key if c.lower() == "id"}
         identity = {c.name for c in self.table.columns if c.identity}
         left = [c for c in columns if c not in self.skip and not (c in key or c in identity)]
-        return {c: self.rename.get(c) or field_name(camel(c)) for c in left}
+        out: dict[str, str] = {}
+        for c in left:
+            name = first = self.rename.get(c) or field_name(camel(c))
+            n = 1
+            while name.lower() in {x.lower() for x in out.values()}:  # a_b and a__b: the later one is numbered
+                n += 1
+                name = f"{first}{n}"
+            out[c] = name
+        return out
 
     def documents(self, df: DataFrame, parents: dict[str, DataFrame] | None = None) -> DataFrame:
         """``_id``, the fields, and ``_errors``: names of fields that couldn't be converted, or whose parent is missing though the column may not be null.
@@ -90,8 +98,9 @@ class Projection:
 
 def row_id(table: str, columns: list[str]) -> Column:
     """The document id of a row with a key of several columns, or of text: a digest of the key, nulls told apart from empty texts."""
-    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
-    return F.concat(F.lit(f"{table}:"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16))
+    # each value with its length, so that no two keys run together to one text
+    parts = [F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    return F.concat(F.lit(f"{table}:"), F.substring(F.sha2(F.concat(*parts), 256), 1, 32))
 
 
 def filterable(table: Table) -> list[str]:
