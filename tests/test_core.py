@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemill import catalog
 from tidemill.functions import converters, naming
-from tidemill.operators import advice, checks, docstore, graph, masking, projection, summaries, verify
+from tidemill.operators import advice, checks, docstore, graph, masking, projection, splits, summaries, verify
 from tidemill.sources import connections, sinks
 
 
@@ -175,7 +175,7 @@ def test_batches_and_chunks(spark):
     got = {r["k"]: (r["batch"], r["is_last"]) for r in summaries.batches(df, "k", 100).collect()}
     assert got == {k: (k // 100, k == 1002) for k in range(1003)} and summaries.batches(df.where("false"), "k", 10).count() == 0
     rows = spark.createDataFrame([("g", i, n) for i, n in enumerate([50, 60, 500, 10, 20, 80])] + [("h", 0, 10)], "g string, k int, n int")
-    assert [(r["g"], r["k"], r["chunk"]) for r in sorted(summaries.byte_chunks(rows, "g", "k", "n", 100).collect())] == [("g", 0, 0), ("g", 1, 1), ("g", 2, 2), ("g", 3, 3), ("g", 4, 3), ("g", 5, 4), ("h", 0, 0)]
+    assert [(r["g"], r["k"], r["chunk"]) for r in sorted(splits.byte_chunks(rows, "g", "k", "n", 100).collect())] == [("g", 0, 0), ("g", 1, 1), ("g", 2, 2), ("g", 3, 3), ("g", 4, 3), ("g", 5, 4), ("h", 0, 0)]
 
 
 def test_ids_and_names_that_run_together(spark):

@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from tidemill.catalog import Catalog, Column, ForeignKey, Table
 from tidemill.functions import fuzzy
-from tidemill.operators import checksums, summaries, textindex, verify
+from tidemill.operators import checksums, splits, summaries, textindex, verify
 from tidemill.plans import declare
 from tidemill.operators.projection import Projection
 from tidemill.plans.files import Folder
@@ -311,3 +311,25 @@ def test_migration_stops_and_goes_on(spark, tmp_path):
     assert (found["notes"]["n_source"], found["notes"]["n_rejected"], found["notes"]["n_equal"], found["notes"]["matches"]) == (4, 3, 1, True)
     new().ledger.rollback("two")
     assert not {r["table_name"]: r["matches"] for r in new().report().collect()}["notes"] and new().target("users").count() == 2
+
+
+@pytest.mark.parametrize(("most", "sizes"), [(100, (1, 60)), (100, (0, 3)), (5, (0, 12)), (100_000, (1, 60)), (1500, (1, 60))])
+def test_splits_of_groups_over_many_ranges(spark, settings, most, sizes):
+    """Chunks that end within a range, span several, or never end; empty and too large rows; a null group."""
+    settings(shuffle__partitions="9", adaptive__coalescePartitions__enabled="false")
+    rng = random.Random(most)
+    rows = [(rng.choice(["a"] * 12 + ["b", "c", None]), i, rng.randint(*sizes) if rng.random() > 0.01 else rng.choice([0, most + 1, 7 * most])) for i in range(1200)]
+    df = spark.createDataFrame(rows, "g string, k long, n long").repartition(3)
+    want, state = [], {}
+    for g, k, n in rows:
+        chunk, filled = state.get(g, (0, 0))
+        if filled and filled + n > most:
+            chunk, filled = chunk + 1, 0
+        state[g] = (chunk, filled + n)
+        want.append((k, chunk))
+    assert summaries.dealt_in_order(df, "g", "k").select("_range").distinct().count() == 9
+    assert sorted((r["k"], r["chunk"]) for r in splits.byte_chunks(df, "g", "k", "n", most).collect()) == want
+
+
+def test_split_of_nothing(spark):
+    assert splits.byte_chunks(spark.createDataFrame([], "g string, k long, n long"), "g", "k", "n", 10).collect() == []

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,33 +45,6 @@ def document_bytes(df: DataFrame) -> Column:
     return F.octet_length(F.to_json(F.struct(*df.columns)))
 
 
-def byte_chunks(df: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
-    """The rows with ``chunk``: within a group, in order, a chunk is filled until the next row would make it larger than ``most``; a larger row is alone.
-
-    Where a chunk ends depends on where the one before it did, which no window
-    says. So rows are sorted within tasks and gone through once, a batch at a
-    time; a group is one task's, as its order asks for, but never held whole.
-    """
-    sorted_rows = df.repartition(F.col(group)).sortWithinPartitions(group, order)
-    place, bytes_ = df.columns.index(group), df.columns.index(size)
-
-    def fold(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, chunk, filled = object(), 0, 0
-        for batch in found:
-            out = []
-            for g, n in zip(batch.column(place).to_pylist(), batch.column(bytes_).to_pylist(), strict=True):
-                if g != last:
-                    last, chunk, filled = g, 0, 0
-                elif filled and filled + n > most:
-                    chunk, filled = chunk + 1, 0
-                filled += n
-                out.append(chunk)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "chunk"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return sorted_rows.mapInArrow(fold, f"{schema}, chunk long")
-
-
 def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key, whole."""
     rank = F.struct(*order, *(c for c in df.columns if c not in order))
@@ -108,18 +78,6 @@ def batch_documents(documents: DataFrame) -> DataFrame:
     return batches(documents, "doc_id", 100)
 
 
-@QUERIES.of(
-    "orders",
-    sql="""WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, 40 + o_orderkey % 90 AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
-    f AS (SELECT o_custkey, o_orderkey, k, n AS filled, CAST(0 AS BIGINT) AS chunk FROM o WHERE k = 1
-    UNION ALL SELECT o.o_custkey, o.o_orderkey, o.k, CASE WHEN f.filled + o.n > 200 THEN o.n ELSE f.filled + o.n END, f.chunk + CASE WHEN f.filled + o.n > 200 THEN 1 ELSE 0 END
-    FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.k = f.k + 1) SELECT o_orderkey, chunk FROM f""",
-)
-def batch_split_bytes(orders: DataFrame) -> DataFrame:
-    rows = orders.selectExpr("o_custkey", "o_orderkey", "40 + o_orderkey % 90 AS n_bytes")
-    return byte_chunks(rows, "o_custkey", "o_orderkey", "n_bytes", 200).select("o_orderkey", "chunk")
-
-
 @QUERIES.of("customer", sql="""SELECT c_custkey, length('{"c_custkey":' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ',"c_name":"' || c_name || '"' END || '}') AS n_bytes FROM customer""")
 def document_sizes(customer: DataFrame) -> DataFrame:
     df = customer.select("c_custkey", F.when(F.col("c_custkey") % 2 == 1, F.col("c_name")).alias("c_name"))
