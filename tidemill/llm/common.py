@@ -91,13 +91,16 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str) -> DataF
     """Inner join of a staged table with one that has each key once, and in ``n`` how many of the rows have it.
 
     Keys that more than a thousandth of the rows have are fewer than a
-    thousand, whatever the data: they are broadcast, so a hot key stays where
-    its rows are. The others are exchanged.
+    thousand, whatever the data: they are looked up in a list and their rows
+    are broadcast, so a hot key stays where its rows are. The others are
+    exchanged.
     """
     bound = rows.count() // HOT_SHARE
-    hot = counted.where(F.col(n) > bound)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key).unionByName(rest.join(counted.where(F.col(n) <= bound), key))
+    hot = [r[0] for r in counted.where(F.col(n) > bound).select(key).collect()]  # fewer than HOT_SHARE
+    if not hot:
+        return rows.join(counted, key)
+    is_hot = F.col(key).isin(hot)
+    return rows.where(is_hot).join(F.broadcast(counted.where(F.col(n) > bound)), key).unionByName(rows.where(~is_hot).join(counted.where(F.col(n) <= bound), key))
 
 
 def documents(docs: DataFrame, *columns: str) -> DataFrame:
