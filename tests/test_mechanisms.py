@@ -302,7 +302,9 @@ def test_migration_stops_and_goes_on(spark, tmp_path):
     assert migration.order() == [("users", 0), ("notes", 1)] and {r["table_name"] for r in migration.dry_run().collect()} == {"users", "notes"}
     migration.run("one", ["users"])
     before = migration.ledger.entries()
-    new().run("two")
+    heard = []
+    new().run("two", on_part=lambda *part: heard.append(part))
+    assert [h[:2] for h in heard] == [("users", 0), ("users", 1), ("notes", 0), ("notes", 1)] and sum(h[2] for h in heard) == 3
     new().run("three")  # nothing is left
     assert [e["run"] for e in new().ledger.entries()] == ["one"] * 3 + ["two"] * 3 and new().ledger.entries()[:3] == before
     assert [r["price"] for r in new().target("notes").collect()] == [5.0]

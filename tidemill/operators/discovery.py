@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.plans.declare import Queries, written
@@ -125,10 +125,10 @@ def _key_oracle() -> str:
     return " UNION ALL ".join(out)
 
 
-def _link_oracle() -> str:
+def _link_oracle(tables: tuple[str, ...] = tuple(COLUMNS)) -> str:
     out = []
-    for t, columns in COLUMNS.items():
-        for p, keys in COLUMNS.items():
+    for t, columns in ((t, COLUMNS[t]) for t in tables):
+        for p, keys in ((t, COLUMNS[t]) for t in tables):
             for c in columns:
                 for k in keys:
                     if p != t and stem(c) == stem(k) and c not in ("text", "html"):
@@ -167,7 +167,36 @@ def found_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links_of(read(spark, sf_dir, COLUMNS))
 
 
+def tables_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables, the largest first, with their share of all rows."""
+    counts = [df.agg(F.count("*").alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows") for t, df in read(spark, sf_dir, COLUMNS).items()]
+    every = counts[0]
+    for some in counts[1:]:
+        every = every.unionByName(some)
+    place = F.row_number().over(Window.orderBy(F.desc("n_rows"), "table_name"))  # a row for each table
+    return every.select("table_name", "n_rows", place.alias("place"), F.round(F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy()), 6).alias("share"))
+
+
+def suggestions_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many indexes of each priority the data asks for: high for links that were found, medium for times, low for labels of few values."""
+    tables = read(spark, sf_dir, ("customer", "orders", "nation", "events"))
+    links = links_of(tables).select(F.col("child").alias("table_name"), "column_name", F.lit("high").alias("priority"))
+    rows = [(t, c, "medium") for t, df in tables.items() for c, kind in df.dtypes if kind.startswith("timestamp")]
+    for t, df in tables.items():
+        texts = [c for c, kind in df.dtypes if kind == "string"]
+        found = df.agg(*(F.approx_count_distinct(c).alias(c) for c in texts)).first() if texts else {}
+        rows += [(t, c, "low") for c in texts if 1 < found[c] <= 20]
+    every = links.unionByName(spark.createDataFrame(rows, links.schema))
+    return every.groupBy("priority").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(F.concat_ws(".", "table_name", "column_name"))), ",").alias("columns"))
+
+
+_SIZES = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in COLUMNS)
+_PLACES = f"SELECT table_name, n_rows, row_number() OVER (ORDER BY n_rows DESC, table_name) AS place, round(n_rows / sum(n_rows) OVER (), 6) AS share FROM ({_SIZES})"
+_TEXTS = (("customer", "c_name"), ("customer", "c_mktsegment"), ("orders", "o_orderstatus"), ("orders", "o_orderpriority"), ("nation", "n_name"), ("events", "event_type"), ("events", "props"))
+_FEW = " UNION ALL ".join(f"SELECT 'low', '{t}.{c}' FROM {t} HAVING count(DISTINCT {c}) BETWEEN 2 AND 20" for t, c in _TEXTS)
+_PRIORITIES = f"""SELECT priority, count(*) AS n, string_agg(name, ',' ORDER BY name) AS columns FROM (SELECT 'high' AS priority, child || '.' || column_name AS name FROM ({_link_oracle(("customer", "orders", "nation", "events"))})
+    UNION ALL SELECT 'medium', t || '.' || c FROM (VALUES ('orders', 'o_orderdate'), ('events', 'ts')) AS v(t, c) UNION ALL {_FEW}) GROUP BY 1"""
 _CARDINALITY = " UNION ALL ".join(_cardinality(*x) for x in (("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("labels", "doc_id", "documents", "doc_id")))
-for _run, _sql in ((found_keys, _key_oracle()), (found_links, _link_oracle()), (link_cardinality, _CARDINALITY)):
+for _run, _sql in ((found_keys, _key_oracle()), (found_links, _link_oracle()), (link_cardinality, _CARDINALITY), (suggestions_by_priority, _PRIORITIES), (tables_by_size, _PLACES)):
     QUERIES[_run.__name__] = _run
     QUERIES.sql[_run.__name__] = _sql

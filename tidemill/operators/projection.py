@@ -32,7 +32,8 @@ class Projection:
     ``types`` says what a column of text holds; ``convert`` adds conversions by
     type; ``keep`` is a condition that rows must meet; ``transform`` has the
     last word on the documents (a function of a table), and rows that it makes
-    null in its key ``_id`` are left out.
+    null in its key ``_id`` are left out. ``valid`` has conditions by name; a
+    row that breaks one has the name among its errors.
     """
 
     table: Table
@@ -42,6 +43,7 @@ class Projection:
     convert: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
     keep: Column | None = None
     transform: Callable[[DataFrame], DataFrame] | None = None
+    valid: dict[str, Column] = field(default_factory=dict)
     empty_as_null: bool = False
 
     def fields(self, columns: list[str]) -> dict[str, str]:
@@ -89,6 +91,8 @@ class Projection:
                 out[column] = of[kind](value) if kind in of else value
                 if kind in of:
                     errors.append(F.when(value.isNotNull() & out[column].isNull(), F.lit(names[column])))
+        # what a row has to be, null counting as not
+        errors += [F.when(~F.coalesce(holds, F.lit(False)), F.lit(name)) for name, holds in self.valid.items()]
         key = self.table.primary_key
         identity = doc_id(self.table.name, key[0]) if len(key) == 1 and df.schema[key[0]].dataType.simpleString() in ("int", "bigint") else row_id(self.table.name, list(key) or df.columns)
         found = F.array_compact(F.array(*errors)) if errors else F.array().cast("array<string>")
@@ -154,3 +158,11 @@ def omit_null_fields(customer: DataFrame) -> DataFrame:
     """Null fields aren't in a document."""
     doc = F.to_json(F.struct("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("name")))
     return customer.select("c_custkey", F.size(F.json_object_keys(doc)).alias("n_fields"))
+
+
+@QUERIES.of("part", sql="SELECT p_partkey, concat_ws(',', CASE WHEN p_size > 25 THEN 'small' END, CASE WHEN p_retailprice % 2 < 1 THEN NULL ELSE 'even' END) AS errors FROM part")
+def project_validated(part: DataFrame) -> DataFrame:
+    """Rows with the names of the rules that they break."""
+    rule = Projection(DRIVER.tables["part"], valid={"small": F.col("p_size") <= 25, "even": F.col("p_retailprice") % 2 < 1})
+    made = rule.documents(part.withColumn("number", F.col("p_partkey")))
+    return made.select(F.col("number").alias("p_partkey"), F.array_join("_errors", ",").alias("errors"))

@@ -195,3 +195,30 @@ def growth_lag(events: DataFrame) -> DataFrame:
 def merge_duplicates(customer: DataFrame) -> DataFrame:
     name = F.max(F.when(F.col("c_acctbal") > 0, F.col("c_name")))
     return customer.groupBy("c_nationkey").agg(name.alias("name"), F.bool_or(F.col("c_acctbal") < 0).alias("in_debt"), F.min("c_custkey").alias("first_key"))
+
+
+def ordered_labels(df: DataFrame, keys: list[str], label: str, order: str) -> DataFrame:
+    """``keys`` and ``labels``: the distinct labels of each group, in order of where they first stand."""
+    first = df.where(F.col(label).isNotNull()).groupBy(*keys, label).agg(F.min(order).alias("_at"))
+    # a row for each label of a group
+    return first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", label))).getField(label).alias("labels"))
+
+
+def merged_rows(df: DataFrame, keys: list[str], order: str, first: tuple[str, ...] = (), any_: tuple[str, ...] = (), least: tuple[str, ...] = ()) -> DataFrame:
+    """One row of all that have a key: the first value that isn't null by ``order``, whether any is true, or the least, as each column asks."""
+    values = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in first] + [F.bool_or(c).alias(c) for c in any_] + [F.min(c).alias(c) for c in least]
+    return df.groupBy(*keys).agg(*values)
+
+
+@QUERIES.of("orders", sql="SELECT o_orderstatus, string_agg(o_orderpriority, ',' ORDER BY place) AS labels FROM (SELECT o_orderstatus, o_orderpriority, min(o_orderkey) AS place FROM orders GROUP BY 1, 2) GROUP BY 1")
+def enum_labels(orders: DataFrame) -> DataFrame:
+    return ordered_labels(orders, ["o_orderstatus"], "o_orderpriority", "o_orderkey").withColumn("labels", F.array_join("labels", ","))
+
+
+@QUERIES.of(
+    "customer",
+    sql="""SELECT c_nationkey, arg_min(c_name, c_custkey) FILTER (c_custkey % 3 <> 0) AS name, bool_or(c_acctbal < -900) AS in_debt, min(c_acctbal) AS c_acctbal FROM customer GROUP BY 1""",
+)
+def merge_first_values(customer: DataFrame) -> DataFrame:
+    rows = customer.select("c_nationkey", "c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("name"), (F.col("c_acctbal") < -900).alias("in_debt"), "c_acctbal")
+    return merged_rows(rows, ["c_nationkey"], "c_custkey", first=("name",), any_=("in_debt",), least=("c_acctbal",))

@@ -11,7 +11,7 @@ by checksums of key ranges, and reads every row.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -61,8 +61,8 @@ class Migration:
         made = self.documents(table)
         return made.where(F.size("_errors") == 0).drop("_errors"), made.where(F.size("_errors") > 0).select(KEY, "_errors")
 
-    def run(self, run: str, tables: Iterable[str] | None = None) -> None:
-        """Write what is missing of the tables, or of all, in order."""
+    def run(self, run: str, tables: Iterable[str] | None = None, on_part: Callable[[str, int, int], None] | None = None) -> None:
+        """Write what is missing of the tables, or of all, in order; ``on_part`` hears of each part that counts: its table, number and rows."""
         chosen = set(self.source if tables is None else tables)
         for table, _ in self.order():
             if table not in chosen:
@@ -70,7 +70,9 @@ class Migration:
             good, bad = self._split(table)
             part = F.pmod(F.xxhash64(KEY), F.lit(self.parts))
             for i in range(self.parts):
-                self.ledger.write(run, table, good.where(part == i), KEY, batch=f"{table}/{i} of {self.parts}")
+                n = self.ledger.write(run, table, good.where(part == i), KEY, batch=f"{table}/{i} of {self.parts}")
+                if on_part:
+                    on_part(table, i, n)
             self.ledger.write(run, table + REJECTED, bad, KEY, batch=f"{table}/rejected")
 
     def target(self, table: str) -> DataFrame:
