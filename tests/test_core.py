@@ -183,3 +183,11 @@ def test_ids_and_names_that_run_together(spark):
     assert df.select(projection.row_id("t", ["a_b", "a__b"])).distinct().count() == 5
     made = projection.Projection(catalog.Table("t")).documents(df)
     assert made.columns == ["_id", "aB", "aB2", "_errors"] and made.count() == 5
+
+
+def test_conversions_by_type_and_nulls(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, None, "n/a"), (3, "c", "x")], "id int, name string, code string")
+    rule = projection.Projection(catalog.Table("t", primary_key=("id",)), types={"code": "code"}, convert={"code": lambda c: F.when(c != "n/a", F.upper(c)), "string": F.upper}, valid={"named": F.col("name").isNotNull()})
+    made = rule.documents(df).orderBy("_id")
+    assert [(r["name"], r["code"], r["_errors"]) for r in made.collect()] == [("A", None, []), (None, None, ["code", "named"]), ("C", "X", [])]
+    assert [r[0] for r in made.select(projection.as_json("name", "code")).collect()] == ['{"name":"A"}', "{}", '{"name":"C","code":"X"}']
