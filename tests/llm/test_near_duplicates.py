@@ -65,3 +65,26 @@ def test_sketches_pass_pairs_at_the_threshold(spark):
         passed[shared] = df.where(bagminhash._may_be_near(("m", "p"), ("n", "q"), 0.8)).count()
     assert passed[800] >= 297 and passed[400] <= 15, passed
     assert df.where(bagminhash._may_be_near(("m", "p"), ("n", "p"), 0.8)).count() == 300
+
+
+def test_members_of_a_large_bucket_all_meet(spark, monkeypatch):
+    """One bucket of 400 unlike texts, of which some are alike in twos that stand far apart by size and number; chunks are smaller than the bucket."""
+    for name, value in (("CROWD", 4), ("CHUNK", 90), ("TILE", 3000)):
+        monkeypatch.setattr(bagminhash, name, value)
+    rng = np.random.default_rng(21)
+    sketch = rng.integers(-(1 << 63), 1 << 63, (400, 4))
+    sketch[200:] = sketch[:200]
+    rows = [(k, int(1000 + k * 200 // 400), sketch[k].tolist(), 0, 77) for k in range(400)]
+    members = spark.createDataFrame(rows, "node long, size long, sketch array<long>, band int, bucket long")
+    # 0 to 4 and 200 to 204 are one component; 10 and 210 were tried before
+    found = spark.createDataFrame([(k, 0) for k in [*range(5), *range(200, 205)]], "node long, component long")
+    tried = spark.createDataFrame([(210, 10)], "a long, b long")
+    want = {(200 + k, k) for k in range(5, 200) if k != 10}
+    for closest in (True, False):
+        assert {tuple(r) for r in bagminhash._second_look(members, found, tried, 0.8, closest).collect()} == want
+    # two components of near copies: the closest partners first, then every pair between them
+    groups = spark.createDataFrame([(k, 1000, [0, 0, 0, (1 << (k % 7)) - 1], k // 30, 5, 60) for k in range(60)], "node long, size long, sketch array<long>, component long, bucket long, _n long")
+    assert bagminhash._crowds(groups, 0.8, False).distinct().count() == 900
+    monkeypatch.setattr(bagminhash, "CHUNK", 16_384)
+    pairs = bagminhash._crowds(groups, 0.8, True).collect()
+    assert 30 <= len(pairs) <= 120 and all(r["a"] >= 30 > r["b"] and r["a"] % 7 == r["b"] % 7 for r in pairs)

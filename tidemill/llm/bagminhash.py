@@ -20,14 +20,12 @@ hardly depends on the weights.
    threshold do but for one pair in some thousands. Both are looked at where
    texts meet, so a link is no row before it has passed. Links are verified on
    whole texts: multiset overlap of at least ``threshold``.
-4. Buckets that hold several components after that are gone through again.
-   Up to ``CROWD`` texts of different components are all compared. A larger
-   bucket is split by each of the other bands, which unlike texts rarely share
-   too; each part sends one text of each component, and these are all compared,
-   or with the ``CROWD`` before it by size if there are more; the bounds on
-   sizes and sketches hold here too. So a bucket of
-   any size costs work in proportion to it, and a text that its bucket's first
-   is unlike still meets the others.
+4. Buckets that hold several components after that are gone through again: all
+   members of different components are compared by sizes and sketches, whatever
+   the number of members. Those of up to ``CROWD`` are joined. A larger bucket
+   is dealt into chunks of ``CHUNK`` rows, and a task compares two chunks, so
+   only links are rows. The ``NEAREST`` partners of each text are verified
+   first; then all other links between components that have stayed apart are.
 5. Components of all verified links are the classes.
 
 A key that a large part of the rows has (copies, a class, a bucket) is joined
@@ -56,8 +54,14 @@ from tidemill.llm.shingles import bag, many_word_hashes, mix, weighted_jaccard,
 PLACES, BANDS = 64, 16
 THRESHOLD = 0.8
 SHINGLE = 5
-#: Members of a bucket that are all compared with each other; larger buckets are split by a second band.
+#: Members of a bucket that are compared by a join; those of larger buckets are compared in chunks.
 CROWD = 16
+#: Rows of a chunk of a large bucket: a task holds two of them.
+CHUNK = 16_384
+#: Partners of a text in a large bucket that are verified before all others.
+NEAREST = 4
+#: Pairs of a chunk that are compared at once.
+TILE = 1_000_000
 
 #: So that sizes exactly at the threshold count as near, whatever the rounding.
 _ROUNDING = 1e-9
@@ -126,9 +130,10 @@ def band_keys(times: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def sketches(times: np.ndarray) -> np.ndarray:
-    """Four bits of each of 64 places, as four numbers of 64 bits a signature."""
-    bits = mix(np.ascontiguousarray(times).view(np.uint64)) & np.uint64(15)
-    return np.bitwise_or.reduce(bits.reshape(len(times), 4, -1) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
+    """Four bits of each of 64 places, as four numbers of 64 bits a signature: the first bits of all places, their second ones, and so on."""
+    bits = mix(np.ascontiguousarray(times).view(np.uint64))
+    places = np.arange(PLACES, dtype=np.uint64)
+    return np.stack([np.bitwise_or.reduce((bits >> np.uint64(k) & np.uint64(1)) << places, axis=1) for k in range(4)], axis=1).view(np.int64)
 
 
 def least_agreement(threshold: float) -> int:
@@ -201,13 +206,10 @@ def _near_sizes(one, other, threshold: float):
 
 def _may_be_near(one: tuple[str, str], other: tuple[str, str], threshold: float):
     """Whether two texts, by the columns of their sizes and sketches, may reach the threshold."""
-    differing = F.lit(0)
+    differing = F.lit(0).cast("long")
     for i in range(4):
-        apart = F.get(one[1], F.lit(i)).bitwiseXOR(F.get(other[1], F.lit(i)))
-        for bits in (1, 2):  # the lowest bit of each four says whether any differs
-            apart = apart.bitwiseOR(F.shiftrightunsigned(apart, bits))
-        differing = differing + F.bit_count(apart.bitwiseAND(F.lit(0x1111111111111111)))
-    return _near_sizes(one[0], other[0], threshold) & (PLACES - differing >= least_agreement(threshold))
+        differing = differing.bitwiseOR(F.get(one[1], F.lit(i)).bitwiseXOR(F.get(other[1], F.lit(i))))
+    return _near_sizes(one[0], other[0], threshold) & (PLACES - F.bit_count(differing) >= least_agreement(threshold))
 
 
 def _pairs(groups: DataFrame, group: str, threshold: float) -> DataFrame:
@@ -225,45 +227,63 @@ def _sized(groups: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
     return members.where(F.col("_n") <= CROWD), members.where(F.col("_n") > CROWD)
 
 
-def _neighbours(groups: DataFrame, group: str, threshold: float) -> DataFrame:
-    """Links of each text with those of the ``CROWD`` before it in its group, by size, that its size allows; a range partitioning deals the rows, so one group may fill many tasks."""
-    ordered = groups.repartitionByRange(group, "size", "node").sortWithinPartitions(group, "size", "node")
-    least = least_agreement(threshold)
-
-    def agreeing(one: list[int], other: list[int]) -> int:
-        apart = [(x ^ y) & (1 << 64) - 1 for x, y in zip(one, other, strict=True)]
-        return PLACES - sum(((x | x >> 1 | x >> 2 | x >> 3) & 0x1111111111111111).bit_count() for x in apart)
-
-    def link(batches):
-        before: list = []
-        for batch in batches:
-            a, b = [], []
-            for g, size, node, sketch in zip(*(batch.column(c).to_pylist() for c in (group, "size", "node", "sketch")), strict=True):
-                before = [x for x in before[-CROWD:] if x[0] == g and x[1] >= (threshold - _ROUNDING) * size]
-                near = [x[2] for x in before if agreeing(x[3], sketch) >= least]
-                b += [min(x, node) for x in near]
-                a += [max(x, node) for x in near]
-                before.append((g, size, node, sketch))
+def _near_members(node: np.ndarray, component: np.ndarray, size: np.ndarray, sketch: np.ndarray, chunk: np.ndarray, threshold: float, closest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of different components whose sizes and sketches allow a link, of different chunks if there are two; ``closest`` leaves each row its ``NEAREST`` partners."""
+    order = np.argsort(size, kind="stable")
+    node, component, size, sketch, chunk = node[order], component[order], size[order], sketch[order], chunk[order]
+    component = np.unique(component, return_inverse=True)[1]
+    least, bound, two = least_agreement(threshold), threshold - _ROUNDING, chunk.min() != chunk.max()
+    # rows of the largest component meet all others as partners
+    rows, at = np.flatnonzero(component != np.bincount(component).argmax()), 0
+    while at < len(rows):
+        low = int(np.searchsorted(size, bound * size[rows[at]]))
+        tile = rows[at : at + max(1, TILE // (len(node) - low))]
+        at += len(tile)
+        high = int(np.searchsorted(size, size[tile[-1]] / bound * (1 + _ROUNDING), "right"))
+        partners = slice(low, high)
+        apart = np.zeros((len(tile), high - low), np.uint64)
+        for k in range(4):
+            apart |= sketch[tile, k][:, None] ^ sketch[partners, k][None, :]
+        apart = np.bitwise_count(apart)
+        near = apart <= PLACES - least
+        near &= component[tile][:, None] != component[partners][None, :]
+        near &= np.minimum(size[tile][:, None], size[partners][None, :]) >= bound * np.maximum(size[tile][:, None], size[partners][None, :])
+        if two:
+            near &= chunk[tile][:, None] != chunk[partners][None, :]
+        if closest and high - low > NEAREST:
+            best = np.argpartition(np.where(near, apart, PLACES + 1), NEAREST - 1, axis=1)[:, :NEAREST]
+            x, k = np.nonzero(np.take_along_axis(near, best, axis=1))
+            y = best[x, k]
+        else:
+            x, y = np.nonzero(near)
+        x, y = tile[x], y + low
+        yield np.maximum(node[x], node[y]), np.minimum(node[x], node[y])
+
+
+def _crowds(groups: DataFrame, threshold: float, closest: bool) -> DataFrame:
+    """Links between texts of different components that their sizes and sketches allow, in groups (``bucket``, of ``_n`` members) of any size."""
+    chunks = F.ceil(F.col("_n") / CHUNK).cast("long")
+    dealt = groups.withColumn("_c", F.pmod(F.xxhash64("node"), chunks)).withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    dealt = dealt.select("bucket", F.least("_c", "_d").alias("_i"), F.greatest("_c", "_d").alias("_j"), "_c", "node", "component", "size", "sketch")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        columns = [table.column(c).to_numpy() for c in ("node", "component", "size")]
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, 4)
+        for a, b in _near_members(*columns, sketch, table.column("_c").to_numpy(), threshold, closest):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return ordered.select(group, "size", "node", "sketch").mapInArrow(link, "a long, b long")
+    return dealt.groupBy("bucket", "_i", "_j").applyInArrow(link, "a long, b long")
 
 
-def _second_look(members: DataFrame, bands: DataFrame, found: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
-    """Links that the first texts of the buckets have not shown: between members of different components."""
+def _second_look(members: DataFrame, found: DataFrame, tried: DataFrame, threshold: float, closest: bool) -> DataFrame:
+    """Links that have not been tried, between members of a bucket in different components: the closest ones of large buckets, or all that are left of them."""
     placed = staged(members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     few, many = _sized(placed, "bucket")
-    crowded = many.select("node", "size", "sketch", "component", "bucket", "band").join(bands.drop("size", "sketch").withColumnRenamed("band", "_band").withColumnRenamed("bucket", "_bucket"), "node")
-    # a pair of bands is one part, whichever of the two was crowded first
-    low, high = F.least("band", "_band"), F.greatest("band", "_band")
-    keys = F.xxhash64(low, F.when(F.col("band") < F.col("_band"), F.col("bucket")).otherwise(F.col("_bucket")), high, F.when(F.col("band") < F.col("_band"), F.col("_bucket")).otherwise(F.col("bucket")))
-    parts = staged(crowded.where("band != _band").select(keys.alias("part"), "node", "size", "sketch", "component").distinct(), "parts")
-    # near copies share most of their parts: one of each component stands for the others of its part
-    heads = parts.groupBy("part", "component").agg(F.min(F.struct("node", "size", "sketch")).alias("_head"))
-    heads = staged(heads.select("part", "component", "_head.*"), "heads", parts)
-    some, large = _sized(heads, "part")
-    links = _pairs(few, "bucket", threshold).union(_pairs(some, "part", threshold)).union(_neighbours(large, "part", threshold))
-    return staged(links.distinct().join(tried, ["a", "b"], "left_anti"), "links", placed, heads)
+    links = _crowds(many, threshold, closest)
+    if closest:
+        links = links.unionByName(_pairs(few, "bucket", threshold))
+    return staged(links.distinct().join(tried, ["a", "b"], "left_anti"), "links", placed)
 
 
 def _classes(rows: DataFrame, threshold: float) -> DataFrame:
@@ -281,12 +301,15 @@ def _classes(rows: DataFrame, threshold: float) -> DataFrame:
     tried = staged(members.where("node != b").where(_may_be_near(("size", "sketch"), ("_size", "_sketch"), threshold)).select(F.col("node").alias("a"), "b").distinct(), "links")
     links = verified(tried, texts, threshold)
     found = connected_components(links)
-    more = _second_look(members.drop("b", "_size", "_sketch"), every, found, tried, threshold)
-    if not more.isEmpty():
-        further = verified(more, texts, threshold)
+    slim = members.drop("b", "_size", "_sketch")
+    for closest in (True, False):
+        more = _second_look(slim, found, tried, threshold, closest)
+        if more.isEmpty():
+            continue
+        links, tried = links.unionByName(verified(more, texts, threshold)), tried.unionByName(more)
         release(found)
-        found = connected_components(links.unionByName(further))
-    release(every, members, tried, more)
+        found = connected_components(links)
+    release(every, members)
     linked = same.join(found, "node")
     total = linked.groupBy("component").agg(F.min("first").alias("_first"), F.sum("copies").alias("class_size"), F.count("*").alias("_n"))
     linked = staged(linked, "linked")
