@@ -39,3 +39,17 @@ def test_links(spark):
     assert rows(found, "child", "column_name", "parent", "parent_column", "n_values") == want
     every = rows(discovery.links_of({"parents": parents, "children": children}, named=False), "child", "column_name", "parent", "parent_column")
     assert ("parents", "p_id", "children", "c_key") in every and not any(c == "c_other" and k == "p_id" for _, c, _, k in every)
+
+
+def test_rings_without_all_ancestors(spark, monkeypatch):
+    """A long tail into a ring of 13, a ring of one, rows that end nowhere; a round prolongs only the longest paths, in parts."""
+    monkeypatch.setattr(hierarchy, "PART_ROWS", 40)
+    links = [(100 + i, 101 + i) for i in range(70)] + [(170, 200), *((200 + i, 200 + (i + 1) % 13) for i in range(13))] + [(5, 5), (6, 5), (1, 2), (2, 3), (None, 4), (4, None)]
+    df = spark.createDataFrame(links, "id long, boss long")
+    want = [(5, 5), *((200 + i, 200) for i in range(13))]
+    found = hierarchy.ancestors(df, "id", "boss")
+    assert found.rdd.getNumPartitions() > 1
+    assert {r["depth"] for r in found.where("node = 100 and ancestor = 205").collect()} == {76}
+    for got in (hierarchy.rings_of(df, "id", "boss"), hierarchy.rings_of(df.union(spark.createDataFrame([(1, 3)], df.schema)), "id", "boss"), hierarchy.rings(found)):
+        assert rows(got, "node", "ring") == want
+    assert hierarchy.rings_of(df.where("id < 5"), "id", "boss").collect() == []
