@@ -335,3 +335,20 @@ def test_splits_of_groups_over_many_ranges(spark, settings, most, sizes):
 
 def test_split_of_nothing(spark):
     assert splits.byte_chunks(spark.createDataFrame([], "g string, k long, n long"), "g", "k", "n", 10).collect() == []
+
+
+def test_ranges_of_splits_hold_few_rows(spark, monkeypatch):
+    """A task holds a range whole, so ranges are cut by rows, in one large group too; chunks stay the greedy ones."""
+    from tidemill.operators import splits, summaries
+
+    monkeypatch.setattr(splits, "RANGE_ROWS", 50)
+    df = spark.createDataFrame([("one", i, 40 + i * 7 % 90) for i in range(600)], "g string, k long, n long")
+    dealt = summaries.dealt_in_order(df, "g", "k", rows=splits.RANGE_ROWS)
+    assert max(r["count"] for r in dealt.groupBy("_range").count().collect()) < 200
+    want, chunk, filled = {}, 0, 0
+    for i in range(600):
+        size = 40 + i * 7 % 90
+        if filled and filled + size > 1000:
+            chunk, filled = chunk + 1, 0
+        filled, want[i] = filled + size, chunk
+    assert {r["k"]: r["chunk"] for r in splits.byte_chunks(df, "g", "k", "n", 1000).collect()} == want

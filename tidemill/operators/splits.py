@@ -29,6 +29,8 @@ from tidemill.operators.summaries import dealt_in_order
 from tidemill.plans.declare import Queries, written
 
 QUERIES = Queries()
+#: Rows of a range, which a task holds whole.
+RANGE_ROWS = 250_000
 _NODE = "range int, entry long, n long, fill long, low long, high long"
 
 
@@ -126,7 +128,7 @@ def byte_chunks(df: DataFrame, group: str, order: str, size: str, most: int) ->
     groups are a group, null sizes are 0.
     """
     # groups by number within a range, so that any type of group will do
-    dealt = dealt_in_order(df, group, order)
+    dealt = dealt_in_order(df, group, order, rows=RANGE_ROWS)
     by_group = Window.partitionBy("_range").orderBy(group)
     in_order = lambda t: t.sort_by([("_g", "ascending"), ("_place", "ascending")])
     place = F.row_number().over(Window.partitionBy("_range").orderBy(group, order, "_tie")).cast("long")

@@ -10,16 +10,18 @@ from tidemill.plans.declare import Queries, written
 QUERIES = Queries()
 
 
-def dealt_in_order(df: DataFrame, *order: str) -> DataFrame:
+def dealt_in_order(df: DataFrame, *order: str, rows: int | None = None) -> DataFrame:
     """The rows as a written table with ``_range``, the number of the range of ``order`` a row fell into.
 
     Ranges are dealt once: were they dealt again, by another plan that reads
     fewer columns, adaptive execution could merge them otherwise. Rows that
     are equal by ``order`` are told apart by a hash of the others, ``_tie``,
-    so that one frequent key doesn't make a range.
+    so that one frequent key doesn't make a range. ``rows`` is about how many
+    are in a range, where a task holds one whole; otherwise Spark chooses.
     """
     tie = F.xxhash64(*(c for c, kind in df.dtypes if c not in order and "map<" not in kind), F.lit(0))
-    return written(df.withColumn("_tie", tie).repartitionByRange(*order, "_tie").withColumn("_range", F.spark_partition_id()), "dealt")
+    ranges = (1 + df.count() // rows,) if rows else ()
+    return written(df.withColumn("_tie", tie).repartitionByRange(*ranges, *order, "_tie").withColumn("_range", F.spark_partition_id()), "dealt")
 
 
 def batches(df: DataFrame, key: str, size: int) -> DataFrame:
