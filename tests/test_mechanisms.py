@@ -352,3 +352,11 @@ def test_ranges_of_splits_hold_few_rows(spark, monkeypatch):
             chunk, filled = chunk + 1, 0
         filled, want[i] = filled + size, chunk
     assert {r["k"]: r["chunk"] for r in splits.byte_chunks(df, "g", "k", "n", 1000).collect()} == want
+
+
+def test_words_are_counted_within_their_row(spark):
+    from tidemill.operators import textindex
+
+    df = spark.createDataFrame([(1, ["b", "a", "b", "c", "b"]), (2, ["x"]), (3, ["a", "a"])], "id long, t array<string>")
+    got = df.select("id", F.inline(textindex.counted(F.col("t")))).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "a", 1), (1, "b", 3), (1, "c", 1), (2, "x", 1), (3, "a", 2)]

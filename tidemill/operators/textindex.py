@@ -22,8 +22,9 @@ from tidemill.plans.declare import Queries, scratch
 
 QUERIES = Queries()
 BUCKETS = 64
-#: Tasks that write a bucket.
+#: Tasks that write a bucket, at least, and the words of the table for each of them.
 PARTS = 4
+PART_TERMS = 500_000
 K1, B = 1.2, 0.75
 WORD = r"[^\p{L}\p{N}]+"
 
@@ -37,15 +38,25 @@ def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def counted(words: Column) -> Column:
+    """``term, tf`` of each distinct word of a list: runs of the sorted list."""
+    ordered = F.array_sort(words)
+    runs = lambda t: F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+    ends = lambda t, first: F.transform(first, lambda i, n: F.struct(F.get(t, i).alias("term"), (F.coalesce(F.get(first, n + 1), F.size(t)) - i).cast("long").alias("tf")))
+    # lists are bound by a transform of one element, so that each is made once
+    return F.get(F.transform(F.array(ordered), lambda t: F.get(F.transform(F.array(runs(t)), lambda first: ends(t, first)), 0)), 0)
+
+
 def build(df: DataFrame, keys: list[str], text: str, path: str) -> None:
     """Index every row of a table, which ``keys`` tell apart, by a text column; whole texts are read, rows without a word have no postings."""
     words = df.select(*keys, terms(F.col(text)).alias("_t")).withColumn("n_terms", F.size("_t")).where("n_terms > 0")
     words.agg(F.count("*").alias("n_rows"), F.sum("n_terms").cast("long").alias("n_terms")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
-    rows = words.select(*keys, "n_terms", F.explode("_t").alias("term"))
-    dealt = rows.withColumns({"bucket": bucket_of(F.col("term")), "_part": F.pmod(F.xxhash64(*keys), F.lit(PARTS))}).repartition("bucket", "_part")
-    # the rows of a bucket's part are together, so counting needs no further exchange
-    counted = dealt.groupBy("bucket", "_part", "term", *keys, "n_terms").agg(F.count("*").alias("tf")).drop("_part")
-    counted.sortWithinPartitions("bucket", "term", *keys).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    n = df.sparkSession.read.parquet(f"{path}/totals").first()["n_terms"] or 0  # a single row
+    parts = max(PARTS, -(-n // (BUCKETS * PART_TERMS)))
+    # words are counted within their row, so only postings are exchanged
+    rows = words.select(*keys, "n_terms", F.inline(counted(F.col("_t"))))
+    dealt = rows.withColumns({"bucket": bucket_of(F.col("term")), "_part": F.pmod(F.xxhash64(*keys), F.lit(parts))}).repartition(BUCKETS * parts, "bucket", "_part").drop("_part")
+    dealt.select("bucket", "term", *keys, "n_terms", "tf").sortWithinPartitions("bucket", "term", *keys).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
 
 
 def postings(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
