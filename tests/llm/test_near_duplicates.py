@@ -88,3 +88,30 @@ def test_members_of_a_large_bucket_all_meet(spark, monkeypatch):
     monkeypatch.setattr(bagminhash, "CHUNK", 16_384)
     pairs = bagminhash._crowds(groups, 0.8, True).collect()
     assert 30 <= len(pairs) <= 120 and all(r["a"] >= 30 > r["b"] and r["a"] % 7 == r["b"] % 7 for r in pairs)
+
+
+def test_links_of_a_crowd_are_fewer_than_its_texts(spark, monkeypatch):
+    """A bucket of 90 texts in components that a link holds between, or almost does; chunks are smaller than the bucket, so that tasks meet."""
+    for name, value in (("CROWD", 4), ("CHUNK", 40), ("TILE", 700), ("CHUNK_SHINGLES", 6000)):
+        monkeypatch.setattr(bagminhash, name, value)
+    rng, texts = np.random.default_rng(5), []
+    for family in range(3):
+        body = words(family, 200)
+        for k in range(30):
+            text = list(body)
+            for i in rng.choice(200, int(rng.integers(0, 6)), replace=False):
+                text[i] = f"z{rng.integers(1 << 30)}"
+            texts.append(" ".join(text + ["tail"] * (k % 3)))
+    pairs = brute(texts)
+    rows = [(k, len(t.split()) - 4, [0] * 4, k % 7, 5, k) for k, t in enumerate(texts)]
+    members = spark.createDataFrame(rows, "node long, size long, sketch array<long>, band int, bucket long, doc_id long")
+    found = spark.createDataFrame([(k, k // 30 * 30 + k % 2) for k in range(0, 90, 3)], "node long, component long")
+    table = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    tried = spark.createDataFrame([], "a long, b long")
+    got = {tuple(r) for r in bagminhash._second_look(members.drop("doc_id"), found, tried, 0.8, True, table).collect()}
+    assert 0 < len(got) < 5 * 90 < len(pairs) and all((b, a) in pairs for a, b in got)
+    label = list(range(90))
+    known = [(k, k // 30 * 30 + k % 2) for k in range(0, 90, 3)]
+    joined = lambda links: [label.__setitem__(slice(None), [label[a] if x == label[b] else x for x in label]) for a, b in links] and label.copy()
+    mine = joined([*known, *got])
+    assert joined(pairs) == mine and 3 <= len(set(mine)) < 20

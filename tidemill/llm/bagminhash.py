@@ -40,6 +40,7 @@ whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,8 @@ SHINGLE = 5
 CROWD = 16
 #: Rows of a chunk of a large bucket: a task holds two of them.
 CHUNK = 16_384
+#: Shingles of a chunk of texts that are compared by all of them.
+CHUNK_SHINGLES = 2_000_000
 #: Partners of a text in a large bucket that are verified before all others.
 NEAREST = 4
 #: Pairs of a chunk that are compared at once.
@@ -260,26 +263,116 @@ def _near_members(node: np.ndarray, component: np.ndarray, size: np.ndarray, ske
         yield np.maximum(node[x], node[y]), np.minimum(node[x], node[y])
 
 
+def _dealt(groups: DataFrame, chunks: F.Column, *more: str) -> DataFrame:
+    """Rows by pairs of the ``chunks`` of their bucket, so that any two of a bucket meet."""
+    dealt = groups.withColumn("_chunks", F.ceil(chunks).cast("long")).withColumn("_c", F.pmod(F.xxhash64("node"), "_chunks"))
+    dealt = dealt.withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)))
+    return dealt.select("bucket", F.least("_c", "_d").alias("_i"), F.greatest("_c", "_d").alias("_j"), "_c", "node", "component", "size", "sketch", *more)
+
+
+def _columns(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, list[np.ndarray]]:
+    """A group's table, and its ``node, component, size, sketch, _c``."""
+    table = pa.Table.from_batches(list(batches)).combine_chunks()
+    node, component, size, chunk = (table.column(c).to_numpy() for c in ("node", "component", "size", "_c"))
+    return table, [node, component, size, table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, 4), chunk]
+
+
 def _crowds(groups: DataFrame, threshold: float, closest: bool) -> DataFrame:
     """Links between texts of different components that their sizes and sketches allow, in groups (``bucket``, of ``_n`` members) of any size."""
-    chunks = F.ceil(F.col("_n") / CHUNK).cast("long")
-    dealt = groups.withColumn("_c", F.pmod(F.xxhash64("node"), chunks)).withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    dealt = dealt.select("bucket", F.least("_c", "_d").alias("_i"), F.greatest("_c", "_d").alias("_j"), "_c", "node", "component", "size", "sketch")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).combine_chunks()
-        columns = [table.column(c).to_numpy() for c in ("node", "component", "size")]
-        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, 4)
-        for a, b in _near_members(*columns, sketch, table.column("_c").to_numpy(), threshold, closest):
+        for a, b in _near_members(*_columns(batches)[1], threshold, closest):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return dealt.groupBy("bucket", "_i", "_j").applyInArrow(link, "a long, b long")
+    return _dealt(groups, F.col("_n") / CHUNK).groupBy("bucket", "_i", "_j").applyInArrow(link, "a long, b long")
+
+
+def _partnered(groups: DataFrame, threshold: float) -> DataFrame:
+    """``bucket, node`` of the members that a link of ``_crowds`` has."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, (node, *columns) = _columns(batches)
+        met = np.zeros(len(node), bool)
+        for a, b in _near_members(np.arange(len(node)), *columns, threshold, False):
+            met[a] = met[b] = True
+        yield from table.select(["bucket", "node"]).filter(pa.array(met)).to_batches()
+
+    return _dealt(groups, F.col("_n") / CHUNK).groupBy("bucket", "_i", "_j").applyInArrow(meet, "bucket long, node long").distinct()
+
+
+def _bags(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The shingles of each text as 64-bit numbers, a repeated one by its occurrence."""
+    for batch in batches:
+        texts, out = batch.to_pylist(), []
+        for lo, hi in slices([len(t or "") for t in texts], 1_000_000):
+            for hashes, counts in (bag(h, SHINGLE) for h in many_word_hashes(texts[lo:hi])):
+                occurrence = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                out.append(mix(np.repeat(hashes, counts) + _GOLD * occurrence.astype(np.uint64)).tobytes())
+        yield pa.array(out, pa.binary())
+
 
+def _joining(component: np.ndarray, size: np.ndarray, sketch: np.ndarray, chunk: np.ndarray, shingles: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Of the pairs of rows that ``_near_members`` gives and whose shingles overlap enough, as many as join all their components."""
+    lengths = np.array([len(x) for x in shingles])
+    kinds, flat = np.unique(np.concatenate(shingles), return_inverse=True)
+    starts = np.cumsum(lengths) - lengths
+    mark, label = np.zeros(len(kinds), bool), np.unique(component, return_inverse=True)[1]
+    found = []
+    for closest in (True, False):
+        for a, b in _near_members(np.arange(len(component)), component, size, sketch, chunk, threshold, closest):
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            for lo, hi in pairwise([*np.flatnonzero(np.diff(a, prepend=-1)).tolist(), len(a)]):
+                one, others = int(a[lo]), b[lo:hi]
+                others = others[label[others] != label[one]]
+                if not len(others):
+                    continue
+                mine = flat[starts[one] : starts[one] + lengths[one]]
+                mark[mine] = True
+                for first, behind in slices(lengths[others].tolist(), TILE):
+                    some = others[first:behind]
+                    ends = np.cumsum(lengths[some])
+                    places = np.arange(ends[-1]) + np.repeat(starts[some] - ends + lengths[some], lengths[some])
+                    shared = np.add.reduceat(mark[flat[places]], ends - lengths[some], dtype=np.int64)
+                    for other in some[shared / (lengths[one] + lengths[some] - shared) >= threshold].tolist():
+                        if label[other] != label[one]:
+                            found.append((one, other))
+                            label[label == label[other]] = label[one]
+                mark[mine] = False
+    return found
+
+
+def _crowd_links(groups: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: links that hold on the ``texts`` (``node, text``) and join what belongs together, in groups (``bucket``, of ``_n`` members) of any size."""
+    met = staged(_partnered(groups, threshold), "partnered")
+    nodes = staged(met.select("node").distinct(), "partners")
+    bags = staged(texts.join(small_enough(nodes), "node", "left_semi").select("node", of_arrays(_bags, "binary")("text").alias("bag")), "bags", nodes)
+    rows = staged(groups.drop("_n").join(met, ["bucket", "node"]), "met", met)
+    total = staged(rows.groupBy("bucket").agg(F.count("*").alias("_n"), F.sum("size").alias("_all")), "met-sizes")
+    placed = staged(join_counted(rows, total, "bucket", "_n"), "met-placed", rows, total)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, (node, *columns) = _columns(batches)
+        pairs = np.array(_joining(*columns, [np.frombuffer(x, np.uint64) for x in table.column("bag").to_pylist()], threshold), np.int64).reshape(-1, 2)
+        a, b = node[pairs[:, 0]], node[pairs[:, 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
-def _second_look(members: DataFrame, found: DataFrame, tried: DataFrame, threshold: float, closest: bool) -> DataFrame:
-    """Links that have not been tried, between members of a bucket in different components: the closest ones of large buckets, or all that are left of them."""
+    chunks = F.greatest(F.col("_n") / CHUNK, F.col("_all") / CHUNK_SHINGLES)
+    dealt = _dealt(placed, chunks).join(bags, "node")
+    return staged(dealt.groupBy("bucket", "_i", "_j").applyInArrow(link, "a long, b long").distinct(), "crowd-links", bags, placed)
+
+
+def _second_look(members: DataFrame, found: DataFrame, tried: DataFrame, threshold: float, closest: bool, texts: DataFrame | None = None) -> DataFrame:
+    """Links that have not been tried, between members of a bucket in different components: the closest ones of large buckets, or all that are left of them.
+
+    With ``texts`` (``node, text``) the links of all buckets that hold on them, of large buckets as many as join what belongs together.
+    """
     placed = staged(members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     few, many = _sized(placed, "bucket")
+    if texts is not None:
+        links = staged(_pairs(few, "bucket", threshold).distinct().join(tried, ["a", "b"], "left_anti"), "links", placed)
+        held = verified(links, texts, threshold).select("a", "b")
+        return held if many.isEmpty() else held.unionByName(_crowd_links(many, texts, threshold))
     links = _crowds(many, threshold, closest)
     if closest:
         links = links.unionByName(_pairs(few, "bucket", threshold))
@@ -301,14 +394,10 @@ def _classes(rows: DataFrame, threshold: float) -> DataFrame:
     tried = staged(members.where("node != b").where(_may_be_near(("size", "sketch"), ("_size", "_sketch"), threshold)).select(F.col("node").alias("a"), "b").distinct(), "links")
     links = verified(tried, texts, threshold)
     found = connected_components(links)
-    slim = members.drop("b", "_size", "_sketch")
-    for closest in (True, False):
-        more = _second_look(slim, found, tried, threshold, closest)
-        if more.isEmpty():
-            continue
-        links, tried = links.unionByName(verified(more, texts, threshold)), tried.unionByName(more)
+    more = _second_look(members.drop("b", "_size", "_sketch"), found, tried, threshold, True, texts)
+    if not more.isEmpty():
         release(found)
-        found = connected_components(links)
+        found = connected_components(links.select("a", "b").unionByName(more))
     release(every, members)
     linked = same.join(found, "node")
     total = linked.groupBy("component").agg(F.min("first").alias("_first"), F.sum("copies").alias("class_size"), F.count("*").alias("_n"))
