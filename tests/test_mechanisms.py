@@ -133,6 +133,23 @@ def test_changes_in_any_order(spark, tmp_path):
     assert sorted(tuple(r) for r in left.collect()) == sorted(e for e in last.values() if e[2] != "deleted")
 
 
+def test_many_keys_are_one_piece_of_state(spark, tmp_path, monkeypatch):
+    """Keys of several columns in three buckets, over two runs."""
+    monkeypatch.setattr(changes, "BUCKETS", 3)
+    schema, out, keys = "a long, b string, x double, version long, op string", str(tmp_path), ["a", "b", "x"]
+    events = [(k, f"{k % 3}", (-0.0, 0.0, float("nan"))[(k + v) % 2 * (k % 2) or k % 2 * 2], v, "deleted" if v == k % 7 else "updated") for k in range(30) for v in range(7)]
+    for half in (1, 0):
+        spark.createDataFrame([e for e in events if e[3] % 2 == half], schema).coalesce(2).write.mode("append").parquet(f"{out}/arrived")
+        changes.apply_changes(spark.readStream.schema(schema).parquet(f"{out}/arrived"), keys, "version", "op", out)
+    every = spark.createDataFrame(events, schema)
+    want = every.groupBy(*keys).agg(F.max_by(F.struct("version", "op"), "version").alias("e")).where("e.op != 'deleted'")
+    left = changes.current(spark, out, every.schema, keys, "version", "op")
+    plain = lambda df: sorted(tuple(map(str, r)) for r in df.selectExpr("a", "b", "x + 0.0", "version").collect())
+    assert plain(left) == plain(want.select(*keys, "e.version"))
+    states = spark.read.format("statestore").option("stateVarName", "last").load(f"{out}/state")
+    assert 0 < states.count() <= 3
+
+
 def test_upsert_goes_on_after_a_restart(spark, tmp_path):
     schema, out = "k long, v string, at long", str(tmp_path)
     for rows in ([(1, "a", 1), (2, "b", 1), (3, "c", 1)], [(2, "B", 2), (2, "x", 1)], [(4, "d", 3), (1, None, 3)]):
